@@ -117,24 +117,26 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 # ------------------------------------------------------------ bounded sketches
 
 
-def summed_slices(df: DataFrame, partial, width: int, slices: int = 16) -> np.ndarray:
-    """Sum of one ``width``-long count array per task, added up slice by slice.
+SLICES = 16
 
-    ``partial(batches)`` yields the task's int64 array. Every task sends
-    ``width`` counters and the driver receives ``width`` counters in all,
-    whatever the number of rows.
+
+def slice_batch(counts: np.ndarray, **constant) -> pa.RecordBatch:
+    """A task's counts as :data:`SLICES` rows ``(slice, item, counts)``; ``constant`` gives types of further, null columns."""
+    kind = np.uint16 if counts.max(initial=0) < 65536 else np.int64
+    step = len(counts) // SLICES
+    blobs = [counts[i * step : (i + 1) * step].astype(kind).tobytes() for i in range(SLICES)]
+    columns = [pa.nulls(SLICES, t) for t in constant.values()]
+    columns += [pa.array(range(SLICES), pa.int32()), pa.array([kind().itemsize] * SLICES, pa.int32()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [*constant, "slice", "item", "counts"])
+
+
+def summed(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of the tasks' count arrays of ``width`` numbers, added slice by slice.
+
+    Every task has sent ``width`` counters and the driver receives ``width``
+    counters in all, whatever the number of rows.
     """
-    step = width // slices
-
-    def tasks(batches):
-        counts = partial(batches)
-        if counts is not None and counts.any():
-            kind = np.uint16 if counts.max() < 65536 else np.int64
-            blobs = [counts[i * step : (i + 1) * step].astype(kind) for i in range(slices)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(slices), pa.int32()), pa.array([kind().itemsize] * slices, pa.int32()), pa.array([b.tobytes() for b in blobs], pa.binary())],
-                ["slice", "item", "counts"],
-            )
+    step = width // SLICES
 
     def add(key, table):
         total = np.zeros(step, np.int64)
@@ -142,13 +144,18 @@ def summed_slices(df: DataFrame, partial, width: int, slices: int = 16) -> np.nd
             total += np.frombuffer(blob, np.uint16 if item == 2 else np.int64)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(tasks, "slice int, item int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     out = np.zeros(width, np.int64)
-    for row in parts.toLocalIterator():
+    for row in parts.select("slice", "item", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
         out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.int64)
     return out
 
 
+def anti(rows: DataFrame, gone: DataFrame, key: str, limit: int = 4_000_000) -> DataFrame:
+    """``rows`` whose key is not in the one-column ``gone``; broadcast only where ``gone`` is counted to hold at most ``limit`` ids, a shuffled join beyond."""
+    few = gone.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 # ------------------------------------------------------------------ components
 
 

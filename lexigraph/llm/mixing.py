@@ -159,6 +159,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its document is taken; rows that share an id are taken as often as the first of them."""
-    taken = mix_documents(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix_documents(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("copies").alias("__mixed_copies"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__mixed_id")))
+    return rows.withColumn("__mixed_copy", F.explode(F.sequence(F.lit(1), F.col("__mixed_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
