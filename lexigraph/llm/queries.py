@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe, embedding_dedup, jaccard_join, mixing, pii, quality, token_counts
+from . import ann_forest, bpe, embedding_dedup, jaccard_join, language_id, mixing, pii, quality, token_counts, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,57 @@ def op2_hash_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op3_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs, table = language_id.train(_table(spark, sf_dir, "documents"))
+    return language_id.identify(_table(spark, sf_dir, "pages"), langs, table)
+
+
+#: Dated events of the lists that op4 applies: list, kind, pattern, action, day of 2024.
+LIST_EVENTS = [
+    ("spam", "host", "spam-farm.example.org", "add", 40),
+    ("spam", "host", "spam-farm.example.org", "remove", 130),
+    ("spam", "host", "spam-farm.example.org", "add", 220),
+    ("pharmacy", "domain", "cheap-pills.example.com", "add", 90),
+    ("review", "domain", "example.net", "add", 300),
+    ("review", "domain", "example.net", "remove", 330),
+    ("legal", "prefix", "www.cheap-pills.example.com/fr", "add", 10),
+    ("legal", "prefix", "www.cheap-pills.example.com/fr", "remove", 200),
+    ("legal", "prefix", "spam-farm.example.org/en", "add", 120),
+    ("old", "domain", "example.org", "add", 0),
+    ("old", "domain", "example.org", "remove", 20),
+]
+
+
+def op4_url_lists_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are fetched over one year, on the day that their id gives."""
+    day = lambda n: F.date_add(F.to_date(F.lit("2024-01-01")), n)
+    entries = spark.createDataFrame(LIST_EVENTS, "list string, kind string, pattern string, action string, n int").withColumn("at", day(F.col("n")))
+    pages = _table(spark, sf_dir, "pages").withColumn("fetched_at", day(F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")))
+    judged = url_lists.judge(pages, entries, key="page_id")
+    return judged.select("page_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "n_active", "lists", "blocked")
+
+
+def _op4_sql() -> str:
+    events = ", ".join(f"('{a}', '{b}', '{c}', '{d}', {n})" for a, b, c, d, n in LIST_EVENTS)
+    return f"""
+    WITH events(list, kind, pattern, action, n) AS (VALUES {events}),
+    spans AS (
+      SELECT list, kind, pattern, action, DATE '2024-01-01' + n::INT AS start,
+             DATE '2024-01-01' + (lead(n) OVER (PARTITION BY list, kind, pattern ORDER BY n))::INT AS until FROM events),
+    p AS (
+      SELECT page_id, DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS t,
+             regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host,
+             rtrim(regexp_extract(lower(url), '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '/') AS path FROM pages),
+    hits AS (
+      SELECT p.page_id, s.list FROM p JOIN spans s ON s.action = 'add' AND t >= s.start AND (s.until IS NULL OR t < s.until)
+       AND CASE s.kind WHEN 'host' THEN host = s.pattern
+                       WHEN 'domain' THEN host = s.pattern OR ends_with(host, '.' || s.pattern)
+                       ELSE host || path = s.pattern OR starts_with(host || path, s.pattern || '/') END)
+    SELECT p.page_id, strftime(t, '%Y-%m-%d') AS fetched_on, count(h.list)::BIGINT AS n_active,
+           coalesce(string_agg(DISTINCT h.list, ',' ORDER BY h.list), '') AS lists, count(h.list) > 0 AS blocked
+    FROM p LEFT JOIN hits h USING (page_id) GROUP BY p.page_id, t"""
+
+
 def op5_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"))
 
@@ -59,8 +110,8 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_hash_forest_neighbours, op5_shingle_jaccard_join, op6_embedding_near_duplicates, op7_bpe_round_trip, op8_pii_spans, op9_source_mix, op10_quality_scores)}
+    return {f.__name__: f for f in (op1_token_counts, op2_hash_forest_neighbours, op3_page_language, op4_url_lists_as_of, op5_shingle_jaccard_join, op6_embedding_near_duplicates, op7_bpe_round_trip, op8_pii_spans, op9_source_mix, op10_quality_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_lists_as_of": _op4_sql()}
