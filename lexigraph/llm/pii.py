@@ -161,9 +161,10 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, SHA-256 of the base spans, and all spans as text."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select(
         key,
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE],
+        *[number(k).alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
