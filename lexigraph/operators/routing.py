@@ -57,7 +57,7 @@ def focus(category: Column, file: Column, known=None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def weighted_fusion(graph: DataFrame, lexical: DataFrame, category: DataFrame | None = None, k: int = 10, alpha: float | None = None, bonus: float = 1.15, key: str = "issue_id") -> DataFrame:
+def weighted_fusion(graph: DataFrame, lexical: DataFrame, category: DataFrame | None = None, k: int = 10, alpha: float | None = None, bonus: float = 1.15, digits: int = 4, key: str = "issue_id") -> DataFrame:
     """Both rankings' scores over their largest, blended; alpha is the lexical share, by category unless given."""
     scaled = lambda df, name: df.select(key, "file_path", scaled_to_max("score", [key]).alias(name))
     both = scaled(graph, "g").join(scaled(lexical, "l"), [key, "file_path"], "full").na.fill(0.0, ["g", "l"])
@@ -66,7 +66,7 @@ def weighted_fusion(graph: DataFrame, lexical: DataFrame, category: DataFrame |
         both = both.join(category.select(key, "category"), key, "left")
         share = F.when(lexical_first(F.col("category")), 0.85).otherwise(0.40) if alpha is None else share
         raised = F.when(focus(F.col("category"), F.col("file_path")), bonus).otherwise(1.0)
-    rows = both.select(key, "file_path", F.round((share * F.col("l") + (1 - share) * F.col("g")) * raised, 4).alias("score"))
+    rows = both.select(key, "file_path", F.round((share * F.col("l") + (1 - share) * F.col("g")) * raised, digits).alias("score"))
     return top(rows, [key], [F.desc("score"), "file_path"], k)
 
 

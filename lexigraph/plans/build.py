@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,10 +12,14 @@ from ..operators import assembly, concepts, cooccurrence, extraction, models, se
 from .config import Settings
 
 
-def build(files: DataFrame, settings: Settings | None = None, definitions: bool = True) -> dict[str, DataFrame]:
-    """Tables of the graph for ``files(file_path, text)``; also ``soft_index``."""
+def build(files: DataFrame, settings: Settings | None = None, definitions: bool = True, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> dict[str, DataFrame]:
+    """Tables of the graph for ``files(file_path, text)``; also ``soft_index``.
+
+    ``keep`` holds on to tables that several later steps read; a function that
+    writes and rereads them cuts lineage as well.
+    """
     s = settings or Settings()
-    raw = extraction.occurrences(files, s.extraction.context_lines)
+    raw = keep(extraction.occurrences(files, s.extraction.context_lines))
     named = concepts.name_occurrences(raw, min_length=s.extraction.min_length)
     parsed = raw.select("file_path").distinct().count()
     occ = concepts.covered(named, parsed, s.extraction.max_file_ratio)
@@ -21,26 +27,28 @@ def build(files: DataFrame, settings: Settings | None = None, definitions: bool
         occ = models.answered(models.definition_prompts(occ)).withColumn("definition", F.nullif("answer", F.lit(""))).drop("answer", "prompt")
     else:
         occ = occ.withColumn("definition", F.lit(None).cast("string"))
-    found = concepts.concepts(occ)
+    occ = keep(occ)
+    found = keep(concepts.concepts(occ))
     defined = concepts.longest_definition(occ)
     r = s.relations
 
     texts = concepts.concept_text(found, defined).withColumn("id", (F.dense_rank().over(W.orderBy("canonical_name")) - 1).cast("bigint"))
-    vectors = models.embedded(texts)
-    pairs = synonyms.tracks(synonyms.candidates(vectors, r.similarity, r.per_concept), r.naming, r.judge_low, r.judge_high)
+    texts = keep(texts)
+    vectors = keep(models.embedded(texts))
+    pairs = keep(synonyms.tracks(synonyms.candidates(vectors, r.similarity, r.per_concept), r.naming, r.judge_low, r.judge_high))
     names = texts.select("id", "canonical_name")
     by_name = pairs.join(names.select(F.col("id").alias("i"), F.col("canonical_name").alias("a")), "i").join(names.select(F.col("id").alias("j"), F.col("canonical_name").alias("b")), "j")
     judged = models.verdicts(models.answered(models.judge_prompts(by_name.where("track = 'semantic'"), found.join(defined, "canonical_name", "left"))))
     same = synonyms.edges(pairs, judged)
     same = same.withColumnsRenamed({"src": "i", "dst": "j"}).join(names.select(F.col("id").alias("i"), F.col("canonical_name").alias("src")), "i").join(names.select(F.col("id").alias("j"), F.col("canonical_name").alias("dst")), "j")
     together = cooccurrence.cooccurrence(cooccurrence.contexts(occ), r.min_count, r.normalization, r.threshold, cross_factor=r.cross_factor)
-    edges = assembly.edges(assembly.synonym_edges(same), assembly.cooccurrence_edges(together))
+    edges = keep(assembly.edges(assembly.synonym_edges(same), assembly.cooccurrence_edges(together)))
 
     meanings = None
     if definitions:
         worth = senses.worth_checking(occ, r.sense_occurrences, r.sense_files).select("split_name")
         defs = occ.join(worth, "split_name", "left_semi").where("definition is not null").select(F.col("split_name").alias("name"), "occurrence_id", F.col("definition").alias("text"), F.xxhash64("occurrence_id").alias("id"))
-        embedded = models.embedded(defs)
+        embedded = keep(models.embedded(defs))
         label = senses.clusters(embedded, r.sense_eps)
         near = senses.representatives(embedded, label)
         members = label.join(defs.select("id", "occurrence_id"), "id").groupBy("name", "cluster").agg(F.array_sort(F.collect_list("occurrence_id")).alias("occurrence_ids"))

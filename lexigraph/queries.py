@@ -371,9 +371,9 @@ def ego_network(spark, d):
     return reports.ego(edges(spark, d), "N3")
 
 
-@query(f"WITH {_OCC} SELECT DISTINCT split_name AS canonical_name FROM occ WHERE contains(split_name, 'nd1_1') OR contains(lower(raw_identifier), 'nd1_1')")
+@query(f"WITH {_OCC} SELECT DISTINCT split_name AS canonical_name FROM occ WHERE contains(split_name, 'nd1') OR contains(lower(raw_identifier), 'nd1')")
 def concept_search(spark, d):
-    return reports.search(concepts.concepts(occurrences(spark, d)), "nd1_1").select("canonical_name")
+    return reports.search(concepts.concepts(occurrences(spark, d)), "nd1").select("canonical_name")
 
 
 @query(f"WITH {_EDGES}, n AS (SELECT 'S' || l_suppkey AS node FROM lineitem UNION SELECT 'C' || c_custkey FROM customer), e AS (SELECT DISTINCT node FROM adj) SELECT count(*) AS nodes, count(e.node) AS linked, round(avg((e.node IS NULL)::INT), 6) AS isolated_share FROM n LEFT JOIN e USING (node)")
@@ -422,15 +422,15 @@ def subgraph(spark, d):
 h2 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h1 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1), h3 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h2 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1),
 h4 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h3 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1),
 f AS (SELECT 1 AS hops, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3 UNION ALL SELECT 4, * FROM h4)
-SELECT 'S5' AS source, 'R2' AS target, hops, array_to_string(path, '>') AS path FROM f WHERE node = 'R2' ORDER BY hops, f.path LIMIT 1""")
+SELECT 'S5' AS source, 'S0' AS target, hops, array_to_string(path, '>') AS path FROM f WHERE node = 'S0' ORDER BY hops, f.path LIMIT 1""")
 def shortest_path(spark, d):
-    return graph.shortest_path(edges(spark, d), "S5", "R2").withColumn("path", F.array_join("path", ">"))
+    return graph.shortest_path(edges(spark, d), "S5", "S0").withColumn("path", F.array_join("path", ">"))
 
 
 @query()
 def explained_path(spark, d):
     e = edges(spark, d)
-    return graph.explained(graph.shortest_path(e, "S5", "R2"), e)
+    return graph.explained(graph.shortest_path(e, "S5", "S0"), e)
 
 
 _IMPACT = f"""WITH {_EDGES}, {_CF}, loc AS (SELECT file AS changed, concept AS node, 0 AS d FROM cf WHERE file IN ('o7', 'o19')),
@@ -536,13 +536,13 @@ def token_seeds(spark, d):
     return retrieval.token_seeds(issues(spark, d), retrieval.token_index(_doc_concepts(spark, d))).select("issue_id", "concept", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {_COS}, a AS (SELECT i AS issue_id, j AS concept, sim * 0.7 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM sim WHERE sim >= 0.15) WHERE r <= 10),
-b AS (SELECT vec_id AS issue_id, vec_id + 1 AS concept, 0.3 * (vec_id % 2)::DOUBLE AS weight FROM embeddings), m AS (SELECT issue_id, concept, max(weight) AS weight FROM (FROM a UNION ALL FROM b) GROUP BY ALL)
-SELECT issue_id, concept, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY weight DESC, concept) AS r FROM m) WHERE r <= 10""")
+@query(f"""WITH {_COS}, a AS (SELECT i AS issue_id, j AS concept, sim * 0.7::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM sim WHERE sim >= 0.15) WHERE r <= 10),
+b AS (SELECT vec_id AS issue_id, vec_id + 1 AS concept, 0.3::DOUBLE * (vec_id % 2)::DOUBLE AS weight FROM embeddings), m AS (SELECT issue_id, concept, max(weight) AS weight FROM (FROM a UNION ALL FROM b) GROUP BY ALL)
+SELECT issue_id, concept, round(weight, 8) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY weight DESC, concept) AS r FROM m) WHERE r <= 10""")
 def seed_merge(spark, d):
     sim = similar_pairs(_vectors(spark, d), 0.1499).select(F.col("i").alias("issue_id"), F.col("j").alias("concept"), F.round("sim", 6).alias("sim"))
     other = _t(spark, d, "embeddings").select(F.col("vec_id").alias("issue_id"), (F.col("vec_id") + 1).alias("concept"), (0.3 * (F.col("vec_id") % 2)).alias("weight"), F.lit("token").alias("reason"))
-    return retrieval.merged_seeds([retrieval.semantic_seeds(sim, k=10), other], 10).select("issue_id", "concept", F.round("weight", 6).alias("weight"))
+    return retrieval.merged_seeds([retrieval.semantic_seeds(sim, k=10), other], 10).select("issue_id", "concept", F.round("weight", 8).alias("weight"))
 
 
 _W = "w AS (SELECT s_suppkey AS issue_id, 'brand' || (s_suppkey % 25 + 1) || '_' || n AS concept, n / 20::DOUBLE AS weight FROM supplier, range(1, 20) r(n))"
@@ -661,13 +661,13 @@ def issue_type_matrix(spark, d):
     return reports.histogram(routing.issue_types(routed_issues(spark, d), F.col("text")), "type")
 
 
-_RUNS = """g AS (SELECT o_custkey AS issue_id, 'core/f' || (o_orderkey % 50) AS file_path, sum(o_totalprice) AS score FROM orders GROUP BY ALL), l AS (SELECT o_custkey AS issue_id, 'core/f' || (o_orderkey % 37) AS file_path, count(*)::DOUBLE AS score FROM orders GROUP BY ALL)"""
+_RUNS = """g AS (SELECT o_custkey AS issue_id, 'core/f' || (o_orderkey % 50) AS file_path, round(sum(o_totalprice), 2) AS score FROM orders GROUP BY ALL), l AS (SELECT o_custkey AS issue_id, 'core/f' || (o_orderkey % 37) AS file_path, count(*)::DOUBLE AS score FROM orders GROUP BY ALL)"""
 
 
 def _runs(spark, d):
     o = _t(spark, d, "orders")
     f = lambda m: F.concat(F.lit("core/f"), F.col("o_orderkey") % m)
-    return o.groupBy(F.col("o_custkey").alias("issue_id"), f(50).alias("file_path")).agg(F.sum("o_totalprice").alias("score")), o.groupBy(F.col("o_custkey").alias("issue_id"), f(37).alias("file_path")).agg(F.count("*").cast("double").alias("score"))
+    return o.groupBy(F.col("o_custkey").alias("issue_id"), f(50).alias("file_path")).agg(F.round(F.sum("o_totalprice"), 2).alias("score")), o.groupBy(F.col("o_custkey").alias("issue_id"), f(37).alias("file_path")).agg(F.count("*").cast("double").alias("score"))
 
 
 _CATEGORY = "cat AS (SELECT c_custkey AS issue_id, ['marc_catalog', 'general', 'domain_logic'][(c_custkey % 3 + 1)::INT] AS category FROM customer)"
@@ -675,11 +675,11 @@ _CATEGORY = "cat AS (SELECT c_custkey AS issue_id, ['marc_catalog', 'general', '
 
 @query(f"""WITH {_RUNS}, {_CATEGORY}, a AS (SELECT issue_id, file_path, score / max(score) OVER (PARTITION BY issue_id) AS g FROM g), b AS (SELECT issue_id, file_path, score / max(score) OVER (PARTITION BY issue_id) AS l FROM l),
 m AS (SELECT issue_id, file_path, coalesce(g, 0) AS g, coalesce(l, 0) AS l FROM a FULL JOIN b USING (issue_id, file_path)), s AS (SELECT issue_id, file_path, CASE WHEN category = 'marc_catalog' THEN 0.85::DOUBLE ELSE 0.4::DOUBLE END AS al, CASE WHEN category = 'general' THEN 1.0::DOUBLE ELSE 1.15::DOUBLE END AS bo, g, l FROM m LEFT JOIN cat USING (issue_id))
-SELECT issue_id, file_path, round((al * l + (1 - al) * g) * bo, 4) AS score, (row_number() OVER (PARTITION BY issue_id ORDER BY round((al * l + (1 - al) * g) * bo, 4) DESC, file_path))::INT AS rank FROM s QUALIFY rank <= 10""")
+SELECT issue_id, file_path, round((al * l + (1 - al) * g) * bo, 8) AS score, (row_number() OVER (PARTITION BY issue_id ORDER BY round((al * l + (1 - al) * g) * bo, 8) DESC, file_path))::INT AS rank FROM s QUALIFY rank <= 10""")
 def fusion_weighted(spark, d):
     g, l = _runs(spark, d)
     c = _t(spark, d, "customer").select(F.col("c_custkey").alias("issue_id"), F.get(F.array(F.lit("marc_catalog"), F.lit("general"), F.lit("domain_logic")), (F.col("c_custkey") % 3).cast("int")).alias("category"))
-    return routing.weighted_fusion(g, l, c)
+    return routing.weighted_fusion(g, l, c, digits=8)
 
 
 @query(f"""WITH {_RUNS}, a AS (SELECT issue_id, file_path, row_number() OVER (PARTITION BY issue_id ORDER BY round(score, 2) DESC, file_path) AS g FROM g), b AS (SELECT issue_id, file_path, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, file_path) AS l FROM l),
