@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import assembly, concepts, cooccurrence, extraction, models, senses, synonyms
+from ..sources.lineage import cut
 from .config import Settings
 
 
-def build(files: DataFrame, settings: Settings | None = None, definitions: bool = True, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> dict[str, DataFrame]:
+def build(files: DataFrame, settings: Settings | None = None, definitions: bool = True, keep: Callable[[DataFrame], DataFrame] = cut) -> dict[str, DataFrame]:
     """Tables of the graph for ``files(file_path, text)``; also ``soft_index``.
 
-    ``keep`` holds on to tables that several later steps read; a function that
-    writes and rereads them cuts lineage as well.
+    ``keep`` holds on to tables that several later steps read; the default
+    writes and rereads them, so plans stay small and survive lost executors.
     """
     s = settings or Settings()
     raw = keep(extraction.occurrences(files, s.extraction.context_lines))
@@ -41,6 +42,7 @@ def build(files: DataFrame, settings: Settings | None = None, definitions: bool
     judged = models.verdicts(models.answered(models.judge_prompts(by_name.where("track = 'semantic'"), found.join(defined, "canonical_name", "left"))))
     same = synonyms.edges(pairs, judged)
     same = same.withColumnsRenamed({"src": "i", "dst": "j"}).join(names.select(F.col("id").alias("i"), F.col("canonical_name").alias("src")), "i").join(names.select(F.col("id").alias("j"), F.col("canonical_name").alias("dst")), "j")
+    same = keep(same)
     together = cooccurrence.cooccurrence(cooccurrence.contexts(occ), r.min_count, r.normalization, r.threshold, cross_factor=r.cross_factor)
     edges = keep(assembly.edges(assembly.synonym_edges(same), assembly.cooccurrence_edges(together)))
 
@@ -49,11 +51,11 @@ def build(files: DataFrame, settings: Settings | None = None, definitions: bool
         worth = senses.worth_checking(occ, r.sense_occurrences, r.sense_files).select("split_name")
         defs = occ.join(worth, "split_name", "left_semi").where("definition is not null").select(F.col("split_name").alias("name"), "occurrence_id", F.col("definition").alias("text"), F.xxhash64("occurrence_id").alias("id"))
         embedded = keep(models.embedded(defs))
-        label = senses.clusters(embedded, r.sense_eps)
+        label = keep(senses.clusters(embedded, r.sense_eps))
         near = senses.representatives(embedded, label)
         members = label.join(defs.select("id", "occurrence_id"), "id").groupBy("name", "cluster").agg(F.array_sort(F.collect_list("occurrence_id")).alias("occurrence_ids"))
         meanings = near.join(members, ["name", "cluster"]).join(defs.select(F.col("id").alias("representative"), F.col("text").alias("canonical_definition")), "representative")
         meanings = meanings.withColumn("of", F.count("*").over(W.partitionBy("name"))).where("of > 1").select(F.col("name").alias("concept"), "cluster", "canonical_definition", "occurrence_ids", "distinctiveness")
     out = assembly.graph(occ, edges, senses=meanings)
     out["soft_index"] = concepts.soft_index(raw)
-    return out
+    return {name: keep(table) for name, table in out.items()}

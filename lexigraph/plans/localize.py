@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.vectors import similar_pairs
 from ..operators import bm25, graph, models, retrieval, routing
 from ..operators.concepts import concept_text, longest_definition
+from ..sources.lineage import cut
 from .config import Settings
 
 
@@ -22,7 +23,7 @@ def similar_concepts(texts: DataFrame, tables: dict[str, DataFrame], floor: floa
     """``(issue_id, concept, sim)`` by the vectors of issue and concept texts."""
     names = concept_text(tables["concepts"], longest_definition(tables["occurrences"])) if "definition" not in tables["concepts"].columns else concept_text(tables["concepts"].drop("definition"), tables["concepts"].select("canonical_name", "definition"))
     both = texts.select(F.col("issue_id").cast("string").alias("name"), F.lit(0).alias("side"), "text").unionByName(names.select(F.col("canonical_name").alias("name"), F.lit(1).alias("side"), "text"))
-    rows = models.embedded(both.withColumn("id", F.row_number().over(W.orderBy("side", "name")).cast("bigint")))
+    rows = cut(models.embedded(both.withColumn("id", F.row_number().over(W.orderBy("side", "name")).cast("bigint"))))
     pairs = similar_pairs(rows, floor).join(rows.where("side = 0").select(F.col("id").alias("i"), F.col("name").alias("issue")), "i").join(rows.where("side = 1").select(F.col("id").alias("j"), F.col("name").alias("concept")), "j")
     return pairs.select(F.col("issue").cast(texts.schema["issue_id"].dataType).alias("issue_id"), "concept", F.round("sim", 6).alias("sim"))
 
@@ -31,9 +32,9 @@ def localize(issues: DataFrame, tables: dict[str, DataFrame], settings: Settings
     """``(issue_id, rank, file_path, score, n_concepts, concepts, top_functions)``: seeds, walk, file scores, boosts."""
     s = (settings or Settings()).retrieval
     texts = issue_texts(issues)
-    seeds = retrieval.merged_seeds([retrieval.semantic_seeds(similar_concepts(texts, tables, s.floor), s.semantic, s.floor, s.seeds), retrieval.token_seeds(texts, retrieval.token_index(tables["concepts"]), s.lexical)], s.seeds)
+    seeds = cut(retrieval.merged_seeds([retrieval.semantic_seeds(similar_concepts(texts, tables, s.floor), s.semantic, s.floor, s.seeds), retrieval.token_seeds(texts, retrieval.token_index(tables["concepts"]), s.lexical)], s.seeds))
     start = seeds.select("issue_id", F.col("concept").alias("node"), "weight")
-    reached = graph.walk(start, tables["edges"], tables["concept_file"], s.hops, s.min_weight, ratio=s.max_file_ratio, by=("issue_id",))
+    reached = cut(graph.walk(start, tables["edges"], tables["concept_file"], s.hops, s.min_weight, ratio=s.max_file_ratio, by=("issue_id",)))
     files = tables["concept_file"].agg(F.countDistinct("file")).first()[0]
     ranked = retrieval.file_scores(reached.select("issue_id", F.col("node").alias("concept"), "weight"), tables["occurrences"], files, s.top_k, s.density)
     orphans = retrieval.orphan_tokens(texts, tables["soft_index"], tables["concepts"])
