@@ -143,3 +143,15 @@ def skeletons(ranked: DataFrame, occurrences: DataFrame, k: int = 10, key: str =
     best = top(hits, [key, "file_path"], [F.desc("n"), "function_name"], k, "r").join(longest, ["file_path", "function_name"])
     piece = F.concat(F.lit("# "), "function_name", F.lit("\n"), F.coalesce("snippet", F.lit("")))
     return best.groupBy(key, "file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", piece.alias("t")))), lambda x: x["t"]), "\n\n").alias("skeleton"))
+
+
+def explanations(ranked: DataFrame, reached: DataFrame, seeds: DataFrame, most: int = 15, key: str = "issue_id") -> DataFrame:
+    """``(key, file_path, explanation)``: an issue's seeds, and for each concept of a file the last step that reached it.
+
+    ``reached`` is the walk's result ``(key, node, weight, hop, via, edge_type)``.
+    """
+    named = top(seeds, [key], [F.desc("weight"), "concept"], most, "r").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "concept"))), lambda x: x["concept"]), ", ").alias("seeds"))
+    steps = reached.select(key, F.col("node").alias("concept"), T.path_text(F.when(F.col("via").isNull(), F.array(F.struct(F.col("node").alias("concept"), F.col("edge_type")))).otherwise(F.array(F.struct(F.col("via").alias("concept"), F.lit(None).cast("string").alias("edge_type")), F.struct(F.col("node").alias("concept"), F.col("edge_type"))))).alias("step"))
+    each = ranked.select(key, "file_path", F.explode("concepts").alias("concept")).join(steps, [key, "concept"])
+    text = each.groupBy(key, "file_path").agg(F.array_join(F.array_sort(F.collect_list("step")), "; ").alias("steps"))
+    return text.join(named, key, "left").select(key, "file_path", F.concat_ws("\n", F.concat(F.lit("seeds: "), "seeds"), F.concat(F.lit("reached: "), "steps")).alias("explanation"))

@@ -180,3 +180,23 @@ def test_sources_cache_and_stream(spark, tmp_path):
     (root / "pkg" / "a2.py").write_text("class Author:\n    pass\n")
     keep_current(source_stream(spark, str(root)), table, str(tmp_path / "cp")).awaitTermination()
     assert {"edition", "author"} <= {r.split_name for r in current(spark, table).collect()}
+
+
+def test_command_line(spark, tmp_path):
+    from lexigraph.__main__ import main
+    from lexigraph.operators.retrieval import explanations
+    from lexigraph.queries import SOURCES
+
+    for path, source in SOURCES:
+        (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / path).write_text(source)
+    out = str(tmp_path / "out")
+    main(["build", str(tmp_path / "src"), out], spark)
+    assert main(["report", out], spark).columns == ["node", "degree"]
+    issues = tmp_path / "issues.json"
+    issues.write_text('[{"issue_id": 1, "title": "edition author record merge", "body": "", "changed_files": ["catalog/merge.py"]}]')
+    assert main(["evaluate", out, str(issues)], spark).first().n == 1
+    ranked = spark.createDataFrame([(1, "f.py", ["b"])], "issue_id int, file_path string, concepts array<string>")
+    reached = spark.createDataFrame([(1, "a", 1.0, 0, None, None), (1, "b", 0.9, 1, "a", "synonym")], "issue_id int, node string, weight double, hop int, via string, edge_type string")
+    seeds = spark.createDataFrame([(1, "a", 1.0)], "issue_id int, concept string, weight double")
+    assert explanations(ranked, reached, seeds).first().explanation == "seeds: a\nreached: a ~[syn]~> b"
