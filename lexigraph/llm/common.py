@@ -159,16 +159,41 @@ def anti(rows: DataFrame, gone: DataFrame, key: str, limit: int = 4_000_000) ->
 # ------------------------------------------------------------------ components
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+#: Edges that one task may label, counted first: 16 bytes each.
+ONE_TASK = 500_000
+
+
+def _labelled(batches):
+    """Components of all edges that a task is given: smallest reachable node by pointer jumping."""
+    parts = [[b.column(0).to_numpy(), b.column(1).to_numpy()] for b in batches]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+        while True:
+            before, low = root, np.minimum(root[a], root[b])
+            root = root.copy()
+            for end in (before[a], before[b]):  # hook roots, not only ends, so that chains close fast
+                np.minimum.at(root, end, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014). Each is a
+    Up to ``one_task`` distinct edges, as counted, are labelled in one task.
+    Beyond that, alternates large-star and small-star steps (Kiveris et al., 2014). Each is a
     minimum by key, combined before its shuffle, and one join, so a hub is never
     gathered in a task. Every round is written to the shared folder. Self loops
     and repeated edges are ignored; no edges give no rows.
     """
     now = scratch.save(_canonical(edges), f"{name}-0")
     seen, k = _state(now), 0
+    if seen[0] <= one_task:
+        return now.coalesce(1).mapInArrow(_labelled, "node bigint, component bigint")
     while seen[0]:
         k += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
