@@ -16,6 +16,8 @@ exact. It follows the set-relation skipping of Wang et al. (VLDB 2017):
   components. Second round: within a list only pairs of classes in *different*
   components are looked at, since a pair in one component could not change the
   answer; a group of near copies has then shrunk to its few stragglers.
+* Of the pairs left, bitmaps of two bits a shingle and more bound the overlap
+  before whole sets are sent to be compared.
 
 Rarity is an estimate from a counting sketch of fixed width over all documents;
 any order is correct, a better one only skips more. Lists stream from a sort, so
@@ -69,12 +71,45 @@ def _survey(docs: DataFrame) -> DataFrame:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 n = [len(s) for s in sets]
                 classes = [_class(s) if len(s) else None for s in sets]
+                bits = [_bitmap(s) if len(s) else None for s in sets]
                 empty = [pa.nulls(len(n), t) for t in (pa.int32(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), *empty], ["doc_id", "n", "cls", "slice", "item", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), *empty], ["doc_id", "n", "cls", "bits", "slice", "item", "counts"])
         if counts.any():
-            yield slice_batch(counts, doc_id=pa.int64(), n=pa.int64(), cls=pa.int64())
+            yield slice_batch(counts, doc_id=pa.int64(), n=pa.int64(), cls=pa.int64(), bits=pa.binary())
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, slice int, item int, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, bits binary, slice int, item int, counts binary")
+
+
+def _bitmap(s: np.ndarray) -> bytes:
+    """A set's shingles by their leading bits, in at least two bits a shingle: a power of two of them."""
+    k = max(3, (2 * len(s) - 1).bit_length())
+    marks = np.zeros(1 << k, np.uint8)
+    marks[(s >> np.uint64(64 - k)).astype(np.int64)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def _most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """No overlap of two sets exceeds this: buckets that both fill, and the members that share a bucket with others of their set."""
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+    while len(a) > len(b):
+        a = a[::2] | a[1::2]
+    while len(b) > len(a):
+        b = b[::2] | b[1::2]
+    return int(np.count_nonzero(a & b)) + min(nx - int(np.count_nonzero(a)), ny - int(np.count_nonzero(b)))
+
+
+def _plausible(pairs: DataFrame, bits: DataFrame, threshold) -> DataFrame:
+    """Pairs whose bitmaps leave room for the overlap they need."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, nx, ny, x, y = (batch.column(k).to_pylist() for k in range(6))
+            keep = [_most_shared(p, n, q, m) >= _needed(n, m, threshold) for n, m, p, q in zip(nx, ny, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(bits.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x")), "a")
+    both = left.join(bits.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y")), "b")
+    return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _prefixes(docs: DataFrame, shared, threshold) -> DataFrame:
@@ -290,7 +325,9 @@ def components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
 
     lists = _prefixes(docs, sketch, threshold).repartition("tok").sortWithinPartitions("tok", "meta", "cls")
     met = scratch.save(lists.mapInArrow(_centres(threshold), "tok bigint, a bigint, b bigint"), "met")
-    pairs = scratch.save(met.where("tok is null").select("a", "b").distinct(), "pairs")
+    met_pairs = met.where("tok is null").select("a", "b").distinct()
+    bits = scratch.save(survey.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
+    pairs = scratch.save(_plausible(met_pairs, bits, threshold), "pairs")
     entries = met.where("tok is not null").select("tok", F.col("b").alias("meta"), F.col("a").alias("cls"))
 
     sets = _verify_sets(docs, pairs, scratch, "sets-1")
@@ -299,7 +336,8 @@ def components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
     first = connected_components(links, scratch, "first")
     placed = entries.join(first.withColumnRenamed("node", "cls"), "cls", "left").select("tok", "meta", "cls", F.coalesce("component", "cls").alias("component"))
     crossing = placed.repartition("tok").sortWithinPartitions("tok", "meta", "cls").mapInArrow(_crossings(threshold), "a bigint, b bigint")
-    crossing = scratch.save(crossing.distinct().join(pairs, ["a", "b"], "left_anti"), "crossing")
+    crossing = crossing.distinct().join(pairs, ["a", "b"], "left_anti")
+    crossing = scratch.save(_plausible(crossing, bits, threshold), "crossing")
     found = first
     if not crossing.isEmpty():
         sets = _verify_sets(docs, crossing, scratch, "sets-2")
