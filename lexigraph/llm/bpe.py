@@ -57,7 +57,7 @@ class ByteBPE(dict):
     as packed little-endian int32, so a text's ids are one join of such pieces.
     """
 
-    CACHE = 1 << 19
+    CACHE = 1 << 18
 
     def __init__(self, content: str):
         super().__init__()
