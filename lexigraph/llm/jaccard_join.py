@@ -256,24 +256,26 @@ def _crossings(threshold):
 
 
 def _sets(docs: DataFrame, wanted) -> DataFrame:
-    """``(cls, members)`` of the classes that pass the filter of those wanted."""
+    """``(cls, members)`` of the documents whose ids pass the filter of those wanted; only their texts are read into sets."""
 
     def run(batches):
         hashes, some = WordHashes(), np.unpackbits(np.frombuffer(wanted.value, np.uint8))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                out = {}
-                for text in as_bytes(batch.column(0).slice(at, 512)):
+                out, part = {}, batch.slice(at, 512)
+                ids = part.column(0)
+                here = ids.is_null().to_numpy(zero_copy_only=False) | (some[ids.fill_null(0).to_numpy() & (FILTER - 1)] == 1)
+                for text in as_bytes(part.column(1).filter(pa.array(here))):
                     s = shingle_set(text, hashes, WIDTH)
-                    if len(s) and some[(c := _class(s)) & (FILTER - 1)]:
-                        out[c] = s.tobytes()
+                    if len(s):
+                        out[_class(s)] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["cls", "members"])
 
-    return docs.select("text").mapInArrow(run, "cls bigint, members binary").dropDuplicates(["cls"])
+    return docs.mapInArrow(run, "cls bigint, members binary").dropDuplicates(["cls"])
 
 
-def _filter(classes: DataFrame) -> bytes:
-    """One bit for each of :data:`FILTER` residues of the classes."""
+def _filter(ids: DataFrame) -> bytes:
+    """One bit for each of :data:`FILTER` residues of the ids."""
 
     def run(batches):
         counts = np.zeros(FILTER, np.int64)
@@ -282,7 +284,7 @@ def _filter(classes: DataFrame) -> bytes:
         if counts.any():
             yield slice_batch(counts)
 
-    marked = summed(classes.mapInArrow(run, "slice int, item int, counts binary"), FILTER)
+    marked = summed(ids.mapInArrow(run, "slice int, item int, counts binary"), FILTER)
     return np.packbits(marked > 0).tobytes()
 
 
@@ -326,11 +328,11 @@ def components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
     lists = _prefixes(docs, sketch, threshold).repartition("tok").sortWithinPartitions("tok", "meta", "cls")
     met = scratch.save(lists.mapInArrow(_centres(threshold), "tok bigint, a bigint, b bigint"), "met")
     met_pairs = met.where("tok is null").select("a", "b").distinct()
-    bits = scratch.save(survey.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
+    bits = scratch.save(survey.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")), "bits")
     pairs = scratch.save(_plausible(met_pairs, bits, threshold), "pairs")
     entries = met.where("tok is not null").select("tok", F.col("b").alias("meta"), F.col("a").alias("cls"))
 
-    sets = _verify_sets(docs, pairs, scratch, "sets-1")
+    sets = _verify_sets(docs, pairs, bits, scratch, "sets-1")
     links = scratch.save(_links(pairs, sets, threshold), "links-1")
     scratch.drop("sets-1")
     first = connected_components(links, scratch, "first")
@@ -340,7 +342,7 @@ def components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
     crossing = scratch.save(_plausible(crossing, bits, threshold), "crossing")
     found = first
     if not crossing.isEmpty():
-        sets = _verify_sets(docs, crossing, scratch, "sets-2")
+        sets = _verify_sets(docs, crossing, bits, scratch, "sets-2")
         more = scratch.save(_links(crossing, sets, threshold), "links-2")
         scratch.drop("sets-2")
         if not more.isEmpty():
@@ -354,9 +356,11 @@ def components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def _verify_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter(ends))
+def _verify_sets(docs: DataFrame, pairs: DataFrame, bits: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Sets of the pairs' classes, from one document each (all those without id, if a class has no other)."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    named = ends.join(bits.select("cls", "rep"), "cls").where("rep is not null").select("rep")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(named))
     return scratch.save(_sets(docs, wanted), name)
 
 
