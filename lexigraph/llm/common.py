@@ -2,66 +2,19 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components  # noqa: F401
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+
 #: A word is a run of bytes other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a local one made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage.
-
-    A lost executor costs only the tasks of the current step: what earlier
-    steps wrote is read again from the shared folder.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        del df
-        self.release()
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def release(self) -> None:
-        """Let Spark's cleaner drop shuffle files of plans no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-
-
 # --------------------------------------------------------------- shingle sets
 
 
@@ -154,73 +107,3 @@ def anti(rows: DataFrame, gone: DataFrame, key: str, limit: int = 4_000_000) ->
     """``rows`` whose key is not in the one-column ``gone``; broadcast only where ``gone`` is counted to hold at most ``limit`` ids, a shuffled join beyond."""
     few = gone.limit(limit + 1).count() <= limit
     return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
-
-
-# ------------------------------------------------------------------ components
-
-
-#: Edges that one task may label, counted first: 16 bytes each.
-ONE_TASK = 500_000
-
-
-def _labelled(batches):
-    """Components of all edges that a task is given: smallest reachable node by pointer jumping."""
-    parts = [[b.column(0).to_numpy(), b.column(1).to_numpy()] for b in batches]
-    if parts:
-        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
-        while True:
-            before, low = root, np.minimum(root[a], root[b])
-            root = root.copy()
-            for end in (before[a], before[b]):  # hook roots, not only ends, so that chains close fast
-                np.minimum.at(root, end, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
-
-    Up to ``one_task`` distinct edges, as counted, are labelled in one task.
-    Beyond that, alternates large-star and small-star steps (Kiveris et al., 2014). Each is a
-    minimum by key, combined before its shuffle, and one join, so a hub is never
-    gathered in a task. Every round is written to the shared folder. Self loops
-    and repeated edges are ignored; no edges give no rows.
-    """
-    now = scratch.save(_canonical(edges), f"{name}-0")
-    seen, k = _state(now), 0
-    if seen[0] <= one_task:
-        return now.coalesce(1).mapInArrow(_labelled, "node bigint, component bigint")
-    while seen[0]:
-        k += 1
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _canonical(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        then = scratch.save(_canonical(small), f"{name}-{k}")
-        state = _state(then)
-        scratch.drop(f"{name}-{k - 1}")
-        now = then
-        if state == seen:
-            break
-        seen = state
-    # a star at the end: a is a node, b its root
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
-
-
-def _canonical(edges: DataFrame) -> DataFrame:
-    """Each edge once, larger end first."""
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]

@@ -141,6 +141,19 @@ def test_clusters_are_components(spark):
         assert all(label[g, i] == order[root(i)] for i in mine)
 
 
+def test_names_of_any_size_have_clusters(spark):
+    rng = random.Random(7)
+    points = [(g, i, [rng.random(), rng.random()]) for g, n in (("x", 90), (None, 70), ("y", 5)) for i in range(n)]
+    points += [("x", 200 + i, points[0][2]) for i in range(40)]
+    table = spark.createDataFrame(points, "name string, id bigint, emb array<double>")
+    told = lambda df: sorted((r.name or "", r.id, r.cluster) for r in df.collect())
+    whole = told(senses.clusters(table, 0.09))
+    assert len(whole) == len(points) and len({c for _, _, c in whole}) > 5
+    assert told(senses.clusters(table, 0.09, most=60)) == whole
+    assert told(senses.sense_components(table, 0.09, block=16)) == whole
+
+
+
 def test_similar_pairs_in_blocks(spark):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
