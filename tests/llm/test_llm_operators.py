@@ -342,6 +342,23 @@ def test_language_edge_cases(spark):
     assert [r.lang for r in language_id.identify(spark.createDataFrame(pages, kind), no_langs, nothing).collect()] == [None] * 4
 
 
+def test_language_declared_anywhere_in_a_page(spark):
+    late = "<!-- " + "licence, see <html> " * 400 + '-->\n<HTML class="a"\n xml:lang=FR>'
+    assert len(late) > 8000 and language_id.declared(late) == "fr"
+    assert language_id.declared(" " * 5000 + '<html lang="de-AT">') == "de"
+    assert language_id.declared("<html>" * 5000 + "<p lang='en'>") == "" == language_id.declared(None)
+    assert language_id.declared("<html " * 200_000) == ""
+    once = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)  # slow, in one piece
+    rng = random.Random(5)
+    for _ in range(2000):
+        page = "".join(rng.choices(["<html", "<HTML", ">", " ", "lang", "=", '"', "en", "x-", "-", "<p", "l"], k=14))
+        found = once.search(page)
+        assert language_id.declared(page) == (found[1].lower() if found else ""), page
+    langs, model = language_id.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    got = language_id.identify(spark.createDataFrame([(1, "http://h.example/", late)], "page_id bigint, url string, html string"), langs, model).first()
+    assert got.declared == "fr"
+
+
 # ---------------------------------------------------------------- URL lists
 
 
