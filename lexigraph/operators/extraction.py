@@ -115,22 +115,24 @@ def unparsable(files: DataFrame) -> DataFrame:
 
 
 def symbols(files: DataFrame, most: int = 15, imports: int = 10) -> DataFrame:
-    """``(file_path, symbols, imports)``: public definitions and imported modules, the first of each."""
+    """``(file_path, symbols, imports, symbol_count)``: public definitions and imported modules, the first of each, and the number of all definitions."""
 
     def run(batches):
         for batch in batches:
-            names, modules = [], []
+            names, modules, counts = [], [], []
             for text in batch.column(1).to_pylist():
                 try:
                     nodes = list(ast.walk(ast.parse(text or "")))
                 except (SyntaxError, ValueError, RecursionError):
                     nodes = []
-                names.append([n.name for n in nodes if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and not n.name.startswith("_")][:most])
+                public = [n.name for n in nodes if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and not n.name.startswith("_")]
+                names.append(public[:most])
+                counts.append(len(public))
                 found = [m for n in nodes for m in ([a.name for a in n.names] if isinstance(n, ast.Import) else [n.module] if isinstance(n, ast.ImportFrom) and n.module else [])]
                 modules.append(list(dict.fromkeys(found))[:imports])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(modules, pa.list_(pa.string()))], ["file_path", "symbols", "imports"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(modules, pa.list_(pa.string())), pa.array(counts, pa.int32())], ["file_path", "symbols", "imports", "symbol_count"])
 
-    return files.select("file_path", "text").mapInArrow(run, "file_path string, symbols array<string>, imports array<string>")
+    return files.select("file_path", "text").mapInArrow(run, "file_path string, symbols array<string>, imports array<string>, symbol_count int")
 
 
 def import_graph(found: DataFrame) -> DataFrame:
@@ -147,4 +149,4 @@ def module_cards(found: DataFrame, described: DataFrame) -> DataFrame:
     out = links.groupBy("file_path").agg(F.count("*").alias("imports_from_count"))
     into = links.where("target is not null").groupBy(F.col("target").alias("file_path")).agg(F.countDistinct("file_path").alias("imported_by_count"))
     rows = found.join(described, "file_path", "left").join(out, "file_path", "left").join(into, "file_path", "left")
-    return rows.select("file_path", "responsibility", "layer", "key_concepts", F.size("symbols").alias("symbol_count"), F.coalesce("imports_from_count", F.lit(0)).alias("imports_from_count"), F.coalesce("imported_by_count", F.lit(0)).alias("imported_by_count"))
+    return rows.select("file_path", "responsibility", "layer", "key_concepts", "symbol_count", F.coalesce("imports_from_count", F.lit(0)).alias("imports_from_count"), F.coalesce("imported_by_count", F.lit(0)).alias("imported_by_count"))

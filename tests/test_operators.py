@@ -111,6 +111,15 @@ def test_identifiers_golden():
     assert extraction.identifiers("f.py", "def (") == []
 
 
+def test_module_cards_count_all_symbols(spark):
+    big = "class Big:\n" + "".join(f"    def f{i}(self): pass\n" for i in range(20)) + "    def _own(self): pass\n"
+    files = spark.createDataFrame([("a.py", big), ("b.py", "def g(): pass"), ("c.py", "def ("), ("d.py", None)], "file_path string, text string")
+    found = extraction.symbols(files)
+    assert {r.file_path: len(r.symbols) for r in found.collect()} == {"a.py": 15, "b.py": 1, "c.py": 0, "d.py": 0}
+    cards = extraction.module_cards(found, found.select("file_path", F.lit("").alias("responsibility"), F.lit("").alias("layer"), F.array().alias("key_concepts")))
+    assert {r.file_path: r.symbol_count for r in cards.collect()} == {"a.py": 21, "b.py": 1, "c.py": 0, "d.py": 0}
+
+
 def test_compound_names_and_soft_index(spark):
     raw = spark.createDataFrame([("a.py", 0, "read_subjects", "function_name", 1), ("a.py", 1, "requests", "import", 1)], "file_path string, ordinal int, raw_identifier string, identifier_type string, line_number int")
     named = concepts.name_occurrences(raw)
