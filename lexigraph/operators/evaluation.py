@@ -21,6 +21,28 @@ def first_hits(predictions: DataFrame, truth: DataFrame, key: str = "issue_id",
     return truth.select(key).distinct().join(joined.groupBy(key).agg(F.min("rank").alias("rank")), key, "left")
 
 
+def holding(docs: DataFrame, passages: DataFrame, key: str = "item_id", item: str = "doc_id", width: int = 4) -> DataFrame:
+    """``(key, item)``: documents whose text has a passage's whole ``text`` in it.
+
+    Inner words of a passage are whole words of every text that has it, so its
+    first ``width`` of them are joined by hash with those at each position of the
+    documents, and whole passages are compared on what meets. Passages of fewer
+    words are compared with every document.
+    """
+    docs = docs.select(F.col(item).alias("doc"), F.col("text").alias("whole"))
+    asked = passages.select(key, F.col("text").alias("passage")).withColumn("words", F.split("passage", " ")).where("passage is not null")
+    long = F.size("words") >= width + 2
+    starts = asked.where(long).select(key, "passage", F.xxhash64(F.slice("words", 2, width)).alias("hash"))
+    words = docs.withColumn("words", F.split("whole", " ")).where(F.size("words") >= width)
+    runs = words.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.xxhash64(F.slice("words", i, width))))).alias("hash"))
+    met = runs.join(starts, "hash").select(F.col("doc").alias("of"), key, "passage").distinct()
+    found = docs.join(met, F.col("doc").eqNullSafe(F.col("of"))).where(F.contains("whole", F.col("passage"))).select(key, "doc")
+    short = asked.where(~long).select(key, "passage")
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(short, F.contains("whole", F.col("passage"))).select(key, "doc"))
+    return found.withColumnRenamed("doc", item)
+
+
 def summary(hits: DataFrame, k: int = 10, by: list[str] | None = None, rollup: bool = False) -> DataFrame:
     """``n, hit_rate, mrr, top1`` per group; with ``rollup`` also over all."""
     good = (F.col("rank") <= k) & F.col("rank").isNotNull()

@@ -104,6 +104,15 @@ def test_evaluation_golden(spark):
     assert (row.n, row.hit_rate, row.mrr) == (3, 0.666667, 0.416667)
 
 
+def test_whole_passages_are_held(spark):
+    opening = " ".join(f"word{i}" for i in range(20)) + " "
+    passages = spark.createDataFrame([(1, opening + "ends here"), (2, opening + "goes on"), (3, "two words"), (4, None), (5, opening + "ends here")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "an " + opening + "ends hereafter"), (2, opening + "stops"), (3, "x" + opening + "goes on, two words"), (None, opening + "goes on"), (5, None), (6, "")], "doc_id int, text string")
+    got = evaluation.holding(docs, passages).collect()
+    assert sorted((r.item_id, r.doc_id or 0) for r in got) == [(1, 1), (2, 0), (2, 3), (3, 3), (5, 1)]
+    assert {r.doc_id for r in got if r.item_id == 1} == {1}  # document 2 has the first 80 characters only
+
+
 def test_identifiers_golden():
     source = "import os as o\nclass A(base.B):\n    def m(self, x):\n        self.y = x\n"
     got = [(r[2], r[3], r[8]) for r in extraction.identifiers("f.py", source)]
