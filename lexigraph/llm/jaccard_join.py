@@ -3,7 +3,8 @@
 A document's set is its distinct five-word shingles. Two documents link when
 their sets' Jaccard similarity reaches the threshold (75 / 100); the result is
 every document's set size and the smallest id reachable by links. The join is
-exact. It follows the set-relation skipping of Wang et al. (VLDB 2017):
+exact. It is after the set-relation skipping of Wang et al. (VLDB 2017), with component
+pruning in place of answer-level skipping, and gives no links:
 
 * Documents with equal sets are one class from the start.
 * An index list holds, for one shingle, the classes that have it among their
