@@ -3,7 +3,10 @@
 The tables hold no source code, so they stand in for it: documents are files,
 benchmark passages and conversations are issues, order lines are occurrences of
 brand-and-size concepts in the supplier's file, and suppliers, nations and
-regions are the graph. Every query runs over whole tables.
+regions are the graph. Every query runs over whole tables, except those that
+parse source code or work on what was parsed: ``ast_extract``, ``module_cards``,
+``graph_build``, ``localize_issues``, ``hybrid_ranking``, ``skeletons`` and
+``cached_definitions`` are fixed fixtures of five files and three issues.
 """
 
 from __future__ import annotations
