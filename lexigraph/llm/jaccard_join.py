@@ -366,7 +366,12 @@ def _verify_sets(docs: DataFrame, pairs: DataFrame, bits: DataFrame, scratch: Sc
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those whose group has a document of smaller id; all columns stay."""
+    """``docs`` without those whose group has a document of smaller id; all columns stay.
+
+    Ids have to be unique and not null: rows that repeat an id with one text all
+    stay, a row without id stays even if it copies another, and an id of two
+    texts loses both if one of them copies an earlier document.
+    """
     gone = components(docs, key=key, **options).where(f"`{key}` <> component_id").select(key).distinct()
     scratch = Scratch(docs.sparkSession, "jaccard-gone")
     return anti(docs, scratch.save(gone, "gone"), key)
