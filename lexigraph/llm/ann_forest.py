@@ -8,7 +8,10 @@ all trees ascend together, one symbol at a time; a level is finished in every
 tree before the next is begun, and the ascent ends after the level at which
 :data:`ENOUGH` candidates are known. A candidate's votes are the symbols it
 shares with the query, over all trees; the :data:`VERIFIED` candidates of most
-votes are measured exactly, on the original vectors.
+votes are measured exactly, on the original vectors. Where the ascent ends at
+prefixes of two symbols or more, the query stands in a dense group whose members
+share most of their strings; votes say little there, and all candidates are
+measured.
 
 A tree's string names the axes, with their signs, on which a random rotation of
 the vector is largest, in order of size: its first symbol is cross-polytope
@@ -106,16 +109,17 @@ class HashForest:
             hi = np.stack([np.searchsorted(s, (q // cut + 1) * cut) for s, q in zip(self.sorted, strings, strict=True)])
             levels.append((lo, hi))
         for q in range(len(queries)):
-            votes, found = np.zeros(self.n, np.int64), 0
-            for lo, hi in levels:
+            votes, found, most = np.zeros(self.n, np.int64), 0, verified
+            for length, (lo, hi) in zip(range(self.depth, 0, -1), levels, strict=True):
                 trees = np.flatnonzero(lo[:, q] < hi[:, q])
                 if len(trees):
                     votes += np.bincount(np.concatenate([self.order[t][lo[t, q] : hi[t, q]] for t in trees]), minlength=self.n)
                     found = int(np.count_nonzero(votes))
                     if found >= enough:
+                        most = found if length > 1 else most
                         break
             # with too few of them, the empty prefix, which all share, is the last level
-            yield (np.argsort(-votes, kind="stable")[:verified] if verified < self.n else np.arange(self.n)), found
+            yield (np.argsort(-votes, kind="stable")[: max(most, verified)] if verified < self.n else np.arange(self.n)), found
 
 
 def _best(ids, exact, asked, asker, near, k):

@@ -99,7 +99,7 @@ def recall_of(ids, x, found):
     for q in np.flatnonzero(ids % 100 == 0):
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
-        hits, total = hits + len(found[ids[q]] & set(ids[np.argsort(d)[:10]].tolist())), total + 10
+        hits, total = hits + len(found[ids[q]] & set(ids[np.argsort(d, kind="stable")[:10]].tolist())), total + 10
     return hits / total
 
 
@@ -112,7 +112,7 @@ def test_nearest_recall(spark):
 
 
 def test_nearest_recall_from_few_candidates(spark):
-    """8,000 vectors, a third of them near copies of one, in two blocks; under 5 % are measured."""
+    """8,000 vectors, a third of them near copies of one, in two blocks; outside that group under 5 % are measured."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(8000, 48))
     x[:2600] = x[0] + rng.normal(size=(2600, 48)) * 0.1
@@ -132,7 +132,7 @@ def test_nearest_repeated_rows(spark):
     rows = [(5, [1.0, 0.0], 0, 0.0)] * 30 + [(5, [0.0, 1.0], 0, 0.0), (6, [1.0, 0.1], 0, 0.0), (None, [1.0, 0.0], 0, 0.0), (7, [3.0, 0.0], 0, 0.0)]
     df = vectors(spark, rows)
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann_forest.nearest(df, df.where("vec_id = 7")).collect()]
-    assert sorted(got) == [(7, 1, 6), (7, 2, 5), (7, 3, 5)]
+    assert sorted(got) == [(7, 1, 5), (7, 2, 6), (7, 3, 5)]
 
 
 # ---------------------------------------------------------------- components
