@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from .scratch import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the folder that ``spark.checkpoint.dir`` names; only where none is named a local one is made."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexigraph-"))
+    """The same rows, read from the folder that driver and executors share."""
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

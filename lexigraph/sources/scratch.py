@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local one made.
+    Where the session names none, a local session (tests, a laptop) gets a folder
+    of its own; on a cluster that is an error, for executors could not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -47,9 +50,18 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def _path(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
+
+    def last(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """``df``, saved, as the only table that stays."""
+        out = self.save(df, name)
+        path, files = self._path()
+        self.drop(*[n for n in (s.getPath().getName() for s in files.listStatus(path)) if n != name])
+        return out
