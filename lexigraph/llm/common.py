@@ -71,6 +71,8 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 SLICES = 16
+#: Tasks whose counts one task adds up.
+FAN_IN = 32
 
 
 def slice_batch(counts: np.ndarray, **constant) -> pa.RecordBatch:
@@ -83,27 +85,54 @@ def slice_batch(counts: np.ndarray, **constant) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [*constant, "slice", "item", "counts"])
 
 
-def summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum of the tasks' count arrays of ``width`` numbers, added slice by slice.
+def summed(parts: DataFrame, width: int, scratch: Scratch, name: str) -> np.ndarray:
+    """Sum of the tasks' count arrays of ``width`` numbers, by a tree: each task adds up at most :data:`FAN_IN` of those before it.
 
-    Every task has sent ``width`` counters and the driver receives ``width``
-    counters in all, whatever the number of rows.
+    No task holds more than ``width`` sums and a batch, and the driver receives
+    ``width`` counters in all, whatever the number of rows or of tasks.
     """
     step = width // SLICES
 
-    def add(key, table):
-        total = np.zeros(step, np.int64)
-        for item, blob in zip(table["item"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total += np.frombuffer(blob, np.uint16 if item == 2 else np.int64)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
+    def add(batches):
+        total = np.zeros((SLICES, step), np.int64)
+        for batch in batches:
+            for k, item, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                total[k] += np.frombuffer(blob, np.uint16 if item == 2 else np.int64)
+        if total.any():
+            yield slice_batch(total.ravel())
+
+    now, level = scratch.save(parts.select("slice", "item", "counts").mapInArrow(add, "slice int, item int, counts binary"), f"{name}-0"), 0
+    tasks = now.rdd.getNumPartitions()  # of a plain scan
+    while True:
+        tasks, level = -(-tasks // FAN_IN), level + 1
+        now = scratch.save(now.coalesce(max(1, tasks)).mapInArrow(add, "slice int, item int, counts binary"), f"{name}-{level}")
+        scratch.drop(f"{name}-{level - 1}")
+        if tasks <= 1:
+            break
     out = np.zeros(width, np.int64)
-    for row in parts.select("slice", "item", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
-        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.int64)
+    for row in now.toLocalIterator():
+        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.uint16 if row["item"] == 2 else np.int64)
     return out
 
 
 def anti(rows: DataFrame, gone: DataFrame, key: str, limit: int = 4_000_000) -> DataFrame:
-    """``rows`` whose key is not in the one-column ``gone``; broadcast only where ``gone`` is counted to hold at most ``limit`` ids, a shuffled join beyond."""
+    """``rows`` whose key is not in the one-column ``gone``; broadcast only where ``gone`` is counted to hold at most ``limit`` ids of 8 bytes, a shuffled join beyond."""
     few = gone.limit(limit + 1).count() <= limit
     return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """Left join of ``rows`` to ``side``, one row a key, whatever share of the rows one key holds.
+
+    Keys that hold more than one in ``most`` of the rows, so fewer than ``most``
+    keys at any size, have their side broadcast and their rows stay where they
+    are; the rest is a shuffled join without a hot key. ``rows`` and ``side`` are
+    read twice and should be saved.
+    """
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = hot.where(F.col("_n") > max(1.0, rows.count() / most)).select(key)
+    here = rows.join(F.broadcast(side.join(F.broadcast(hot), key, "left_semi")), key)
+    # a hot key without a partner stays among the rest
+    known = side.join(F.broadcast(hot), key, "left_semi").select(key)
+    rest = rows.join(F.broadcast(known), key, "left_anti").join(side, key, "left")
+    return here.unionByName(rest)

@@ -155,8 +155,8 @@ def smallest(edges):
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
-    for one_task in (0, 10**6):
-        got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "test"), one_task=one_task)
+    for chunk, tasks in ((3, 7), (10**6, 1), (10**6, 5)):
+        got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(tasks), Scratch(spark, "test"), chunk=chunk)
         assert {r.node: r.component for r in got.collect()} == smallest([e for e in edges if e[0] != e[1]])
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "test")).count() == 0
 
@@ -184,24 +184,46 @@ def family(rng, size, edits, words=120):
         yield " ".join(out)
 
 
-def test_jaccard_join_is_exact(spark):
+def like_texts():
     rng = random.Random(8)
     texts = [t for k in range(6) for t in family(rng, 12, 3 + 2 * k)]
     passage = " ".join(f"p{i}" for i in range(60))
     texts += [passage + " " + " ".join(f"z{rng.randrange(900)}" for _ in range(rng.randrange(5, 90))) for _ in range(40)]
     texts += ["Same TEXT with some Words here", "same text with some words here", "É É É É É É", "é é é é é é"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 1000, t) for i, t in EDGES if i is not None]
+    return [(i, t) for i, t in enumerate(texts)] + [(i + 1000, t) for i, t in EDGES if i is not None]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"longest": 3, "part": 4}, {"digest_bits": 5}])
+def test_jaccard_join_is_exact(spark, sizes):
+    """As it runs; with every list cut and every pair of blocks a group; with digests that clash."""
+    rows = like_texts()
     n, component = linked(list(dict(rows).items()))
-    got = jaccard_join.components(table(spark, rows)).collect()
+    got = jaccard_join.components(table(spark, rows), **sizes).collect()
     assert len(got) == len(rows)
     assert all((r.n_shingles, r.component_id) == (n[r.doc_id], component.get(r.doc_id, r.doc_id)) for r in got)
-    kept = jaccard_join.keep_first(table(spark, rows))
+
+
+def test_jaccard_join_odd_tables(spark):
+    rows = like_texts()
+    _, component = linked(list(dict(rows).items()))
+    unique = list(dict(rows).items())
+    kept = jaccard_join.keep_first(table(spark, unique))
     assert kept.columns == table(spark, []).columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if component.get(i, i) == i}
-    assert jaccard_join.components(table(spark, [])).count() == 0
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in unique if component.get(i, i) == i)
+    assert jaccard_join.components(table(spark, [])).count() == 0 == jaccard_join.keep_first(table(spark, [])).count()
     assert {r.n_shingles for r in jaccard_join.components(table(spark, [(None, None), (1, "")])).collect()} == {0}
 
 
+def test_jaccard_join_ids_that_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = a + " more"
+    rows = [(1, a), (5, near), (5, b), (5, b), (7, b), (None, a), (None, c), (None, c), (8, d), (9, d), (9, d), (9, None), (9, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.components(table(spark, rows)).collect())
+    assert got == Counter([(1, 1), (5, 1), (5, 5), (5, 5), (7, 5), (None, 1), (None, None), (None, None), (8, 8), (9, 8), (9, 8), (9, 9), (9, 9)])
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.keep_first(table(spark, rows)).collect())
+    assert kept == Counter([(1, a), (5, b), (None, c), (8, d), (9, None), (9, None)])
+
+
 # ---------------------------------------------------------------- vectors' near-duplicates
 
 
