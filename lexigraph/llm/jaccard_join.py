@@ -64,7 +64,7 @@ SKETCH = 1 << 19
 FILTER = 1 << 20
 #: Entries of a list that one task streams in the first round, and that one task compares in the second.
 LIST = 1 << 16
-PART = 2048
+PART = 512
 _POSITION = 32
 
 
