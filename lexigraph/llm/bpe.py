@@ -184,13 +184,14 @@ class ByteBPE(dict):
         return _EXACT(text) if _ODD_CHARACTER(text) else _FAST(text)
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        words = [self.split(t) if t else [] for t in texts]
-        known = set().union(*words)
+        """Ids of each text; a text that stands there several times is encoded once."""
+        words = {t: self.split(t) if t else [] for t in texts}
+        known = set().union(*words.values())
         ids = {x for x in known if isinstance(x, int)}
         self.learn(known - ids)
         self.update((x, np.int32(x).tobytes()) for x in ids)
-        return [np.frombuffer(b"".join(map(self.__getitem__, w)), np.int32) for w in words]
+        made = {t: np.frombuffer(b"".join(map(self.__getitem__, w)), np.int32) for t, w in words.items()}
+        return [made[t] for t in texts]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()

@@ -49,6 +49,10 @@ LIST_EVENTS = [
     ("legal", "prefix", "spam-farm.example.org/en", "add", 120),
     ("old", "domain", "example.org", "add", 0),
     ("old", "domain", "example.org", "remove", 20),
+    ("site", "prefix", "Spam-Farm.example.org", "add", 250),
+    ("site", "prefix", "spam-farm.example.org/", "remove", 280),
+    ("slash", "prefix", "www.cheap-pills.example.com//en/", "add", 60),
+    ("slash", "host", "nowhere.example.edu.", "add", 60),
 ]
 
 
@@ -64,14 +68,15 @@ def op4_url_lists_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op4_sql() -> str:
     events = ", ".join(f"('{a}', '{b}', '{c}', '{d}', {n})" for a, b, c, d, n in LIST_EVENTS)
     return f"""
-    WITH events(list, kind, pattern, action, n) AS (VALUES {events}),
+    WITH told(list, kind, pattern, action, n) AS (VALUES {events}),
+    events AS (SELECT list, kind, CASE WHEN kind = 'prefix' THEN rtrim(regexp_replace(lower(pattern), '/+', '/', 'g'), '/') ELSE rtrim(lower(pattern), '.') END AS pattern, action, n FROM told),
     spans AS (
       SELECT list, kind, pattern, action, DATE '2024-01-01' + n::INT AS start,
              DATE '2024-01-01' + (lead(n) OVER (PARTITION BY list, kind, pattern ORDER BY n))::INT AS until FROM events),
     p AS (
       SELECT page_id, DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS t,
              regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host,
-             rtrim(regexp_extract(lower(url), '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '/') AS path FROM pages),
+             rtrim(regexp_replace(regexp_extract(lower(url), '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '/+', '/', 'g'), '/') AS path FROM pages),
     hits AS (
       SELECT p.page_id, s.list FROM p JOIN spans s ON s.action = 'add' AND t >= s.start AND (s.until IS NULL OR t < s.until)
        AND CASE s.kind WHEN 'host' THEN host = s.pattern

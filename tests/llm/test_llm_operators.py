@@ -424,6 +424,19 @@ def test_lists_as_of_the_fetch(spark):
     assert url_lists.judge(captures.limit(0), entries).count() == 0
 
 
+@pytest.mark.parametrize("few", [url_lists.FEW, 0])
+def test_prefixes_in_any_form(spark, few):
+    """Few entries, and as many as have to be salted."""
+    day = datetime.date(2024, 1, 1)
+    patterns = ["x.org", "y.org/", "Z.org//a//b/", "w.org./c"]
+    entries = spark.createDataFrame([(p, "prefix", p, "add", day) for p in patterns], "list string, kind string, pattern string, action string, at date")
+    urls = ["http://x.org/a/b", "http://x.org", "http://xx.org/", "http://y.org", "http://y.org/q?z", "http://z.org/a/b/c", "http://z.org//a///b", "http://z.org/a/bb", "http://w.org/c/", "http://w.org./c", "http://w.org/", "http://x.org/" + "s/" * 300_000, "http://" + "a." * 100_000 + "x.org/"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "capture_id bigint, url string, fetched_at date")
+    got = {r.capture_id: r.lists for r in url_lists.judge(captures, entries, few=few).collect()}
+    want = ["x.org", "x.org", "", "y.org/", "y.org/", "Z.org//a//b/", "Z.org//a//b/", "", "w.org./c", "w.org./c", "", "x.org", ""]
+    assert [got[i] for i in range(len(urls))] == want
+
+
 def test_url_query_like_its_sql(spark):
     import duckdb
 
