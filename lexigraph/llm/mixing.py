@@ -11,11 +11,18 @@ target by less than the one document whose fraction is left at the end.
 Documents are dealt to bounded groups by a hash; each group is rounded in one
 array fold and hands on its one open document. The open documents of a source
 are dealt anew, a tree of constant fan-in, until each source has one, which is
-rounded by itself. Random numbers are hashes of ids and seed: reruns agree.
-
-Defined cases: a null text has size 0; documents of size 0 take 0 words; a null
-source is a source of its own, last in order; repeated rows are documents of
-their own, as are rows with a null id; an empty table gives no rows.
+rounded by itself. Random numbers are hashes of ids and seed: reruns agree. Rows
+that agree in id, source and size are numbered apart, so that any number of them
+is dealt to as many groups as other rows.
+
+Sources may be many (hosts): their order comes from a range-partitioned sort, and
+the water level of their targets from sums, round by round; neither gathers them.
+
+Defined cases: a null text has size 0; texts are read whole; documents of size 0
+take 0 words; a null source is a source of its own, last in order; repeated rows
+are documents of their own, as are rows with a null id; other columns stay as
+they are in :func:`repeat`, whatever their names, and are ignored elsewhere; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,30 +42,43 @@ CAP = 2.0
 FAN_IN = 128
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def _in_order(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sources`` with ``place``, their number from 0 by code point, null last; no task sees more than a range of them."""
+    placed = sources.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id())
+    placed = scratch.save(placed, "sources").withColumn("range", F.shiftright("id", 33))
+    # one row a range of the sort, so as many as shuffle partitions at most
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = placed.groupBy("range").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
+    placed = placed.join(F.broadcast(before.select("range", "before")), "range")
+    return placed.withColumn("place", F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).drop("id", "range", "before")
+
+
+def targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, source_size)``.
 
     Sources in code point order, null last, weigh ``weights`` in turn. What a
     capped source can't take is shared again by weight until none is above its
-    cap. That is the water level L with sum(min(L * weight, cap * size)) equal to
-    all words to take, found from running sums over the one row per source.
+    cap: that is the water level at which sum(min(level * weight, cap * size)) is
+    all words to take. Each round is one aggregate; sums of sizes and of weights
+    are whole numbers, so every run finds the same level.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("most", F.col("source_size") * cap).withColumn("fills", F.col("most") / F.col("weight"))
-    by_fill = W.orderBy("fills", F.col("source").asc_nulls_last())
-    below = by_fill.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    ranked = (
-        ranked.withColumn("total", F.sum("source_size").over(everything) * share)
-        .withColumn("full", F.coalesce(F.sum("most").over(below), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-    )
-    # the first source whose cap lies above its level, and all after it, are not capped
-    level = F.min(F.when(F.col("level") <= F.col("fills"), F.struct("fills", "source", "level"))).over(everything)["level"]
-    ranked = ranked.withColumn("level", level)
-    return ranked.select("source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))).alias("target"))
+    turn = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = scratch.save(_in_order(sources, scratch).withColumn("weight", turn), "ranked")
+    total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        full = F.col("source_size") * cap <= F.col("weight") * level
+        taken, weight = ranked.agg(F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not weight:
+            level = None  # every source gives all it may
+            break
+        after = (total - cap * (taken or 0)) / weight
+        if after <= level:
+            break
+        level = after
+    most = F.col("source_size") * cap
+    target = most if level is None else F.least(most, F.col("weight") * F.lit(level))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -106,19 +126,42 @@ def _documents(folded: DataFrame, column: str, names: list[str]) -> DataFrame:
     return folded.select(F.explode(column).alias("d")).select(*[f"d.{c}" for c in names])
 
 
+def _numbered(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sized`` with ``nth``, which tells apart rows that agree in id, source and size.
+
+    Rows are counted in each part of the saved table, and the parts' counts are
+    added up, so a row that stands there a billion times is numbered by as many
+    tasks as hold it.
+    """
+    alike = ["doc_id", "source", "size"]
+    again = sized.groupBy(*alike).agg(F.count("*").alias("times")).where("times > 1").select(*[F.col(c).alias(f"again_{c}") for c in alike])
+    again = scratch.save(again, "again")
+    if again.isEmpty():
+        return sized.withColumn("nth", F.lit(0).cast("bigint"))
+    is_again = [F.col(c).eqNullSafe(F.col(f"again_{c}")) for c in alike]
+    alone = sized.join(again, is_again, "left_anti").withColumn("nth", F.lit(0).cast("bigint"))
+    many = sized.join(again, is_again, "left_semi").withColumn("part", F.shiftright("row", 33))
+    local = many.withColumn("local", F.row_number().over(W.partitionBy(*alike, "part").orderBy("row")))
+    ahead = W.partitionBy(*alike).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = many.groupBy(*alike, "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"again_{c}") for c in alike], F.col("part").alias("of"), "before")
+    many = local.join(before, [*is_again, F.col("part") == F.col("of")]).withColumn("nth", F.col("before") + F.col("local"))
+    return alone.unionByName(many.select(*alone.columns))
+
+
 def mix(sized: DataFrame, scratch: Scratch, seed: int = 1, fan_in: int = FAN_IN, **weights) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` for every row of ``(doc_id, source, size)``."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    goal = targets(sizes.select("source", "source_size"), **weights).withColumnRenamed("source", "s")
+    """``(row, doc_id, source, size, source_size, target, copies)`` for every row of the saved ``(row, doc_id, source, size)``; ``row`` is a monotonically increasing id."""
+    sizes = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sizes")
+    goal = targets(sizes.select("source", "source_size"), scratch, **weights).withColumnRenamed("source", "s")
     count = sizes.select(F.col("source").alias("c"), "source_rows")
     goal = goal.join(count, F.col("s").eqNullSafe(F.col("c"))).drop("c")
-    rows = sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = _numbered(sized, scratch).join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     # ties in size are broken by a hash, so that runs of like documents are dealt evenly
-    rows = rows.withColumn("tag", F.xxhash64("doc_id", "size", F.lit(seed)))
+    rows = rows.withColumn("tag", F.xxhash64("doc_id", "size", "nth", F.lit(seed)))
     settled = rows.where("size = 0 or p = 0").withColumn("p", F.lit(0.0))
-    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "tag", "source_rows"]
+    kept = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "p", "tag", "source_rows"]
     item = F.struct(F.negative("size").alias("order"), "tag", *[c for c in kept if c != "tag"])
     done = [settled.select(*kept)]
     now = rows.where("size > 0 and p > 0").select(item.alias("d"), F.col("source").alias("s"), F.col("source_rows").alias("n"))
@@ -143,22 +186,35 @@ def mix(sized: DataFrame, scratch: Scratch, seed: int = 1, fan_in: int = FAN_IN,
     out = last
     for part in done:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("bigint").alias("copies"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("bigint").alias("copies"))
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _sized(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col(text)).alias("size"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """:func:`mix` of documents by the number of words in ``text``; texts are read once."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    return mix(sized, scratch, **options)
+    out = mix(scratch.save(_sized(docs), "sized"), scratch, **options)
+    return scratch.last(out.drop("row"))
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as its document is taken; rows that share an id are taken as often as the first of them."""
-    taken = mix_documents(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("copies").alias("__mixed_copies"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__mixed_id")))
-    return rows.withColumn("__mixed_copy", F.explode(F.sequence(F.lit(1), F.col("__mixed_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: every row of ``docs`` as often as it is taken, row by row, whatever ids repeat.
+
+    The rows are written once with a number, which their copies are joined by.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    held = docs.toDF(*names).withColumn("row", F.monotonically_increasing_id())
+    held = scratch.save(held, "held")
+    named = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text")}
+    sized = scratch.save(held.select("row", named["doc_id"].alias("doc_id"), named["source"].alias("source"), word_count(named["text"]).alias("size")), "sized")
+    taken = mix(sized, scratch, **options).where("copies > 0").select("row", "copies")
+    rows = held.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*names).toDF(*docs.columns)

@@ -344,11 +344,38 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
     key = lambda r: (r.doc_id is None, r.doc_id, r.size, r.copies)
     assert sorted(map(key, got)) == sorted(map(key, mixing.mix_documents(docs.repartition(7), fan_in=16).collect()))
-    assert mixing.repeat(docs).columns == docs.columns
+    mixed = mixing.repeat(docs, fan_in=16)
+    assert mixed.columns == docs.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in got for _ in range(r.copies))
     assert mixing.mix_documents(table(spark, [])).count() == 0
     assert [r.copies for r in mixing.mix_documents(table(spark, [(1, None)])).collect()] == [0]
 
 
+def test_mixing_many_repeated_rows(spark):
+    """20,000 rows without id and alike, beside others: no group grows, and the copies repeated are those planned."""
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = rows.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text"), F.lit("t").alias("source"))).repartition(6)
+    scratch = Scratch(spark, "mix-test")
+    sized = scratch.save(mixing._sized(rows), "sized")
+    numbers = mixing._numbered(sized, scratch).where("doc_id is null").select("nth").collect()
+    assert sorted(r.nth for r in numbers) == list(range(1, 20_001))
+    mixing.mix(sized, scratch).count()
+    assert scratch.spark.read.parquet(f"{scratch.root}/mix-1").agg(F.max(F.size("r.done"))).first()[0] < 300
+    got = mixing.mix_documents(rows).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.sum("copies").alias("copies")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in got)
+    mixed = {r.source: r["count"] for r in mixing.repeat(rows).groupBy("source").count().collect()}
+    assert mixed == {r.source: r.copies for r in got}
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"h{i}é" if i % 3 else f"H{i}": rng.choice([0, 1, 10, 1000, 90000]) for i in range(300)} | {None: 500, "": 7}
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(5)
+    got = {r.source: r.target for r in mixing.targets(sources, Scratch(spark, "targets")).collect()}
+    want = plain_targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
 # ---------------------------------------------------------------- quality
 
 
