@@ -28,6 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_MADE: list[Scratch] = []
+
+
+def made() -> int:
+    """How many scratch folders there have been, for :func:`sweep`."""
+    return len(_MADE)
+
+
+def sweep(since: int) -> None:
+    """Delete the folders made after ``since``, once nothing reads them any more."""
+    for scratch in _MADE[since:]:
+        path, files = scratch._path()
+        files.delete(path, True)
+    del _MADE[since:]
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage.
 
@@ -38,6 +54,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
