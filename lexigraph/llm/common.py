@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components  # noqa: F401
-from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+from ..sources.scratch import Scratch, made, shared_dir, sweep  # noqa: F401
 
 #: A word is a run of bytes other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -121,15 +121,15 @@ def anti(rows: DataFrame, gone: DataFrame, key: str, limit: int = 4_000_000) ->
     return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, most: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, key: str, most: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` to ``side``, one row a key, whatever share of the rows one key holds.
 
     Keys that hold more than one in ``most`` of the rows, so fewer than ``most``
     keys at any size, have their side broadcast and their rows stay where they
     are; the rest is a shuffled join without a hot key. ``rows`` and ``side`` are
-    read twice and should be saved.
+    read twice and should be saved. ``counts``, if known, are the rows ``_n`` of a key.
     """
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts if counts is not None else rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     hot = hot.where(F.col("_n") > max(1.0, rows.count() / most)).select(key)
     here = rows.join(F.broadcast(side.join(F.broadcast(hot), key, "left_semi")), key)
     # a hot key without a partner stays among the rest

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, spread_join
 
 #: Vectors a bucket holds on average.
 LOAD = 512
@@ -84,11 +84,11 @@ def _compare(threshold: float):
         unit = _matrix(table["vec"].combine_chunks()).astype(np.float64)
         unit = unit / np.abs(unit).max(1, keepdims=True)  # lest squares overflow or vanish
         unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-        rep, times = table["rep"].to_numpy(), table["times"].to_numpy()
+        node, times = table["node"].to_numpy(), table["times"].to_numpy()
         keys = _matrix(table["keys"].combine_chunks())
         block = table["block"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        links, root = np.zeros(len(node), np.int64), np.arange(len(node))
         ends: list[np.ndarray] = []
         for at in range(0, len(left), 512):
             some = left[at : at + 512]
@@ -112,7 +112,7 @@ def _compare(threshold: float):
             if (root == before).all():
                 break
         hit = np.flatnonzero(links)
-        return pa.table({"rep": pa.array(rep[hit]), "links": pa.array(links[hit]), "root": pa.array(rep[root[hit]])})
+        return pa.table({"node": pa.array(node[hit]), "links": pa.array(links[hit]), "root": pa.array(node[root[hit]])})
 
     return run
 
@@ -123,25 +123,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vec"))
     rows = rows.withColumn("usable", usable(F.col("vec")) & F.col("id").isNotNull())
     classes = rows.where("usable").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    classes = scratch.save(classes, "classes")
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     bits, tables = plan(classes.count(), threshold, recall)
     keyed = scratch.save(_keys(classes, bits, tables, seed), "keyed")
 
-    dealt = keyed.select("rep", "times", "vec", "keys", F.posexplode("keys").alias("table", "bucket"), F.size("vec").alias("d"))
+    dealt = keyed.select("node", "times", "vec", "keys", F.posexplode("keys").alias("table", "bucket"), F.size("vec").alias("d"))
     full = keyed.select(F.posexplode("keys").alias("table", "bucket"), F.size("vec").alias("d")).groupBy("table", "bucket", "d").count().where(F.col("count") > BLOCK)
     full = full.select("table", "bucket", "d", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.join(full, ["table", "bucket", "d"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = dealt.groupBy("table", "bucket", "d", "i", "j").applyInArrow(_compare(threshold), "rep bigint, links bigint, root bigint")
+    found = dealt.groupBy("table", "bucket", "d", "i", "j").applyInArrow(_compare(threshold), "node bigint, links bigint, root bigint")
     found = scratch.save(found, "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
-
-    known = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where("usable").join(known, "vec").select("id", "n_links", "component_id")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    placed = scratch.save(components.join(classes.select("node", "rep"), "node"), "placed")
+    least = scratch.save(placed.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    placed = spread_join(placed.select("node", "component"), least, "component").select("node", "least")
+
+    known = classes.join(links, "node", "left").join(placed, "node", "left")
+    known = known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    known = scratch.save(known, "known")
+    linked = spread_join(rows.where("usable").select("vec", "id"), known, "vec", counts=classes.select("vec", F.col("times").alias("_n"))).select("id", "n_links", "component_id")
     alone = rows.where("not usable").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return scratch.last(out)

@@ -10,8 +10,9 @@
   (count + K * parent) / (total + K) at each level. Counts are sums of the
   pages' text posteriors, and a page's own share is taken out of its prior.
 
-Sums are combined before their shuffle, so a host with a third of all pages is
-no task of its own.
+Sums are combined before their shuffle, and the pages of a host that holds more
+than a thousandth of all stay where they are when its sums come back to them, so
+a host with a third of all pages is no task of its own.
 
 Defined cases: a page with null or empty markup has no text and no declaration
 and takes its host's prior; a null or odd address has host, domain and suffix
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes
+from .common import Scratch, as_bytes, spread_join
 
 #: Labelled documents that the trigram model is fitted on, at most.
 SAMPLE = 20_000
@@ -75,13 +76,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 total = counts.setdefault(lang, np.zeros(GRAMS, np.int64))
                 np.add.at(total, grams(text or b""), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
-
-    def add(key, table):
-        total = sum(np.frombuffer(b, np.int64) for b in table["counts"].to_pylist())
-        return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    model = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows.mapInArrow(run, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").collect()}
+        for lang, total in counts.items():
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(total[seen])], ["lang", "gram", "n"])
+
+    # bounded by the sample: a gram of a language is a row, added up before and after the shuffle
+    sums = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model: dict[str, np.ndarray] = {r["lang"]: np.zeros(GRAMS, np.int64) for r in rows.select("lang").distinct().collect()}
+    told = sums.toPandas()
+    for lang, some in told.groupby("lang"):
+        model[lang][some["gram"].to_numpy()] = some["n"].to_numpy()
     langs = sorted(model)
     table = np.stack([np.log((model[x] + 0.5) / (model[x].sum() + 0.5 * GRAMS)) for x in langs]) if langs else np.zeros((0, GRAMS))
     return langs, table
@@ -135,9 +139,9 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     total = rows.agg(*sums).first()
     overall = F.array(*[F.lit(float(total[i] or 0.0)) for i in each])
     hosts = counted("host", "domain", "suffix").join(counted("domain", "suffix"), ["domain", "suffix"]).join(counted("suffix"), "suffix")
-    hosts = hosts.select("host", "host_sum", "domain_sum", "suffix_sum")
-    declarations = counted("declared")
-    joined = rows.join(hosts, "host").join(declarations, "declared")
+    hosts = scratch.save(hosts.select("host", "host_sum", "domain_sum", "suffix_sum"), "hosts")
+    # a declaration is two or three letters or none, so there are at most 26 ** 2 + 26 ** 3 + 1
+    joined = spread_join(rows, hosts, "host").join(F.broadcast(counted("declared")), "declared")
 
     def smoothed(parent: Column, sums: Column) -> Column:
         """(count + K parent) / (total + K), without the page's own share."""

@@ -244,6 +244,9 @@ def test_embedding_near_duplicates(spark):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (hit[i].sum() - 1, component.get(i, i), component.get(i, i) == i)
         assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, *_ in ODD)
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
+    again = [(5, [1.0, 0.0], 0, 0.0)] * 3 + [(5, [0.0, 1.0], 0, 0.0), (6, [1.0, 0.01], 0, 0.0), (None, [1.0, 0.0], 0, 0.0), (8, [-1.0, 0.0], 0, 0.0)]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(vectors(spark, again)).collect())
+    assert got == Counter([(5, 3, 5, True)] * 3 + [(5, 0, 5, True), (6, 3, 5, False), (None, 0, None, False), (8, 0, 8, True)])
 
 
 # ---------------------------------------------------------------- BPE
@@ -387,6 +390,61 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def plain_features(text):
+    """The features of :func:`quality.features`, by loops over the bytes."""
+    data = (text or "").encode()
+    n, words = max(1, len(data)), data.split()
+    m = max(1, len(words))
+    size = [len(w) for w in words] or [0]
+    mean = sum(size) / len(size)
+    counts = sorted(Counter(words).values(), reverse=True)
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    lower, upper, digit, high = (sum(lo <= c <= hi for c in data) for lo, hi in ((97, 122), (65, 90), (48, 57), (128, 255)))
+    mark = [33 <= c < 127 and not chr(c).isalnum() for c in data]
+    space = sum(c in (9, 10, 11, 12, 13, 32) for c in data)
+    ahead = list(zip(words, words[1:]))
+    of = lambda chars: sum(c in chars.encode() for c in data)
+    share = [k / n for k in Counter(data).values()]
+    return [
+        np.log(1 + len(words)), mean, (sum((x - mean) ** 2 for x in size) / len(size)) ** 0.5, sum(x > 20 for x in size) / len(size), sum(x <= 3 for x in size) / len(size),
+        len(counts) / m, len(counts) / m * np.log(1 + m), (len(set(ahead)) if ahead else 1) / max(1, len(words) - 1), counts[0] / m if counts else 0.0, sum(counts[:5]) / m, sum(a == b for a, b in ahead) / m,
+        upper / max(1, lower + upper + high), digit / n, sum(mark) / n, high / n, space / n,
+        sum(a and b for a, b in zip(mark, mark[1:])) / n, sum(a and b and x == y for a, b, x, y in zip(mark, mark[1:], data, data[1:])) / n,
+        of("#*%&$!|@<>{}[]_=~^+/\\") / n, of("|") / m, of("!") / m, of(".?") / m, of(",") / m, np.log(1 + len(lines)), 1 - len(set(lines)) / max(1, len(lines)), np.log(1 + n / max(1, len(lines))), -sum(x * np.log(x) for x in share),
+    ]
+
+
+def test_quality_query_like_plain_code(spark):
+    """Every score of the query from plain features and the same training rows, fitted again without Spark."""
+    import zlib
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    x = {r.doc_id: plain_features(r.text) for r in docs}
+    out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+    taught = [i for i in sorted(x) if i in labels and not out[i]]
+    model = quality.fit(np.array([x[i] for i in taught]), np.array([labels[i] for i in taught]))
+    rows = queries.op10_quality_scores(spark, DATA).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.held_out == out[r.doc_id] and r.predicted == (r.score >= 0.5)
+        assert abs(r.score - model.score(np.array([x[r.doc_id]]))[0]) < 1e-6
+
+
+def test_quality_of_repeated_and_conflicting_labels(spark):
+    docs = table(spark, [(i, f"w{i % 7} " * (i % 5 + 1)) for i in range(3, 60)] + [(3, "other text"), (4, "x" * 2_000_000), (5, None)])
+    rows = [(i, i % 2, 0) for i in range(3, 60)]
+    kind = "doc_id bigint, quality int, toxic int"
+    once = quality.train(docs, spark.createDataFrame(rows, kind))
+    twice = quality.train(docs.repartition(5), spark.createDataFrame(rows * 3, kind).repartition(7))
+    assert (once.weights == twice.weights).all() and once.threshold == twice.threshold
+    less = quality.train(docs, spark.createDataFrame([r for r in rows if r[0] not in (7, 9)], kind))
+    torn = quality.train(docs, spark.createDataFrame(rows + [(7, 0, 0), (9, 0, 0)], kind))
+    assert (less.weights == torn.weights).all()
+    some = quality.train(docs, spark.createDataFrame(rows, kind), sample=10)
+    assert len(some.weights) == len(once.weights) and quality.score(docs, some).count() == docs.count()
+
+
 def test_quality_edge_cases(spark):
     docs = table(spark, EDGES)
     none = quality.train(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
@@ -407,15 +465,46 @@ def test_language_of_pages(spark):
     assert sum(a == b for a, b in told) / len(told) >= 0.95
 
 
+def test_language_query_like_plain_code(spark):
+    """Every language and confidence of the query, by loops over pages."""
+    langs, model = language_id.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    got = {r.page_id: r for r in queries.op3_page_language(spark, DATA).collect()}
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    rows, sums = [], defaultdict(lambda: np.zeros(len(langs)))
+    for r in pages:
+        m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", (r.url or "").lower())
+        host = m[1].rstrip(".") if m else ""
+        parts = host.split(".")
+        levels = [("all",), ("suffix", parts[-1]), ("domain", ".".join(parts[-2:])), ("host", host)]
+        data = language_id.visible(r.html).encode().lower()
+        g = [language_id.grams(data[i : i + 3])[0] for i in range(len(data) - 2)]
+        ll = model.astype(np.float32)[:, g].sum(1, dtype=np.float64) * language_id.TEMPER * min(1, language_id.TRUST / max(1, len(g)))
+        p = soft(ll)
+        mark = ("mark", language_id.declared(r.html))
+        for level in [*levels, mark]:
+            sums[level] += p
+        rows.append((r.page_id, levels, mark, ll, p))
+    for i, levels, mark, ll, p in rows:
+        prior = np.full(len(langs), 1 / len(langs))
+        for level in levels:
+            less = np.maximum(sums[level] - p, 0)
+            prior = (less + language_id.K * prior) / (less.sum() + language_id.K)
+        given = (np.maximum(sums[mark] - p, 0) + 0.1) / (sums["all",] + 1)
+        post = soft(ll + np.log(prior) + np.log(given))
+        assert got[i].declared == mark[1] and abs(got[i].confidence - post.max()) < 1e-6
+        assert got[i].lang == langs[int(post.argmax())] or np.sort(post)[-1] - np.sort(post)[-2] < 1e-9
+
+
 def test_language_edge_cases(spark):
     langs, model = language_id.train(spark.read.parquet(f"{DATA}/documents.parquet"))
-    pages = [(1, None, None, "x"), (2, "not a url", "", "x"), (3, "http://h.example.fr/", '<html lang="fr">', "x"), (3, "http://h.example.fr/", "<p>les des une que pour avec dans</p>", "x")]
+    pages = [(1, None, None, "x"), (2, "not a url", "", "x"), (3, "http://h.example.fr/", '<html lang="fr">', "x"), (3, "http://h.example.fr/", "<p>les des une que pour avec dans</p>", "x"), (None, "http://h.example.fr/", "<p>" + "les des une " * 100_000, "x")]
     kind = "page_id bigint, url string, html string, lang string"
     got = language_id.identify(spark.createDataFrame(pages, kind), langs, model).collect()
-    assert len(got) == 4 and all(r.lang in langs and 0 < r.confidence <= 1 for r in got)
+    assert len(got) == 5 and all(r.lang in langs and 0 < r.confidence <= 1 for r in got)
     assert language_id.identify(spark.createDataFrame([], kind), langs, model).count() == 0
     no_langs, nothing = language_id.train(spark.createDataFrame([], "doc_id bigint, text string, lang string"))
-    assert [r.lang for r in language_id.identify(spark.createDataFrame(pages, kind), no_langs, nothing).collect()] == [None] * 4
+    assert [r.lang for r in language_id.identify(spark.createDataFrame(pages, kind), no_langs, nothing).collect()] == [None] * 5
 
 
 def test_language_declared_anywhere_in_a_page(spark):
@@ -508,3 +597,47 @@ def test_pipeline_stages(stages):
     got = ids.collect()
     assert Counter(r.doc_id for r in got) == copies
     assert all(list(r.ids) == library.encode(text[r.doc_id], add_special_tokens=False).ids for r in got)
+
+
+def odd_documents(spark):
+    """Documents of the smallest table, with nulls in every column, empty and very long texts, repeated rows and ids, and a clashing column."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = docs.where("length(text) > 400").limit(1).first()
+    odd = [(None, None, None, None, None), (None, good.text, None, None, None), (70_000, "", "en", None, 0), (70_001, None, None, "web", None), (70_002, "word " * 60_000, "en", "web", 300_000), (70_003, "x" * 400_000, None, None, 400_000), (70_004, good.text, "en", "web", None), (70_004, good.text, "en", "web", None), (70_005, good.text + " mail me@example.org now", "en", "web", None), (70_006, " \n\t ", "en", "web", 4)]
+    more = spark.createDataFrame(odd, docs.schema)
+    return docs.unionByName(more).withColumn("cls", F.lit("clash")).withColumn("row", F.lit(7)), good
+
+
+def test_pipeline_stages_with_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, good = odd_documents(spark)
+    scratch = Scratch(spark, "odd")
+    docs = scratch.save(docs, "docs")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        after = scratch.save(stage(spark, docs, DATA), f"s{k}")
+        none = stage(spark, docs.limit(0), DATA)
+        assert none.count() == 0 and none.columns == after.columns, name
+        if name != "encode":
+            assert after.columns == docs.columns and after.where("cls <> 'clash' or row <> 7").count() == 0, name
+        ids = Counter(r.doc_id for r in after.select("doc_id").collect())
+        was = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        if name in ("quality", "near_duplicates"):
+            assert all(n <= was[i] for i, n in ids.items()), name
+        if name == "near_duplicates":  # the same text under the group's smallest id, others and none: one stays
+            assert after.where(F.col("text") == good.text).count() == docs.where(F.col("text") == good.text).limit(1).count()
+            assert after.where("text is null or trim(text) = ''").count() == docs.where("text is null or trim(text) = ''").count()
+        if name == "personal_data":
+            assert ids == was and not after.where(F.col("text").contains("me@example.org")).count()
+        if name == "mix":
+            assert set(ids) <= set(was) and not after.where("text is null or text = ''").count()
+        if name == "encode":
+            assert ids == was
+        docs = after
+
+
+def test_pipeline_run_is_its_stages(spark, stages):
+    import corpus_pipeline
+
+    got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == Counter((r.doc_id, tuple(r.ids)) for r in stages[-1][2].collect())
