@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: How the tokenizer file splits text before merging; a fixed pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -244,7 +246,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_arrays(cols, [key, "n_tokens", "ids", "decoded"][: len(cols)])
 
     schema = f"`{key}` {kind}, n_tokens bigint, ids array<int>" + ", decoded string" * decode
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

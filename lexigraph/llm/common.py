@@ -15,13 +15,37 @@ from ..sources.scratch import Scratch, made, shared_dir, sweep  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch of texts, which may be long; in the JVM a batch is held once or twice for every core.
+ROWS = 1024
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, which the session is set to send to Python in batches of at most :data:`ROWS` rows."""
+    setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= ROWS:
+        conf.set(setting, str(ROWS))
+    return texts
+
+
+def gathered(batches, rows: int = 16_384):
+    """The rows of narrow batches in fewer ones, of ``rows`` or a little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 # --------------------------------------------------------------- shingle sets
 
 
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound of entries."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, anti, as_bytes, connected_components, shingle_set, slice_batch, spread_join, summed
+from .common import Scratch, WordHashes, anti, as_bytes, connected_components, gathered, in_small_batches, shingle_set, slice_batch, spread_join, summed
 
 #: Similarity, as a fraction of whole numbers.
 THRESHOLD = (75, 100)
@@ -213,7 +213,7 @@ def _centres(threshold):
     def run(batches):
         held: tuple = (None, np.empty((4, 0), np.int64))  # list in hand: its shingle and part, its centres
         last = (None, None)
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             tok, part, meta, cls = (batch.column(k).to_numpy() for k in range(4))
@@ -332,7 +332,7 @@ def _crossings(threshold, step: int = 1_000_000):
             tok, i, j, *rest = columns
             yield from answers(int(i[0]), int(j[0]), *rest)
 
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             columns = [batch.column(k).to_numpy() for k in range(7)]
@@ -501,7 +501,7 @@ def _labelled(docs: DataFrame, scratch: Scratch, threshold, digest_bits: int = 6
 def components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: str = "text", key: str = "doc_id", **sizes) -> DataFrame:
     """``(key, n_shingles bigint, component_id bigint)`` for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = in_small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows, _ = _labelled(docs, scratch, threshold, **sizes)
     out = rows.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
     return scratch.last(out)
@@ -523,7 +523,7 @@ def keep_first(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
     by the texts' and other columns' digest. Rows without words all stay.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    some = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    some = in_small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows, identity = _labelled(some, scratch, threshold, **sizes)
     rows = scratch.save(rows.where("cls is not null"), "rows")
     repeated = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null").select("doc_id"), "repeated")

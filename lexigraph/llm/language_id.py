@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, spread_join
+from .common import Scratch, as_bytes, in_small_batches, spread_join
 
 #: Labelled documents that the trigram model is fitted on, at most.
 SAMPLE = 20_000
@@ -81,7 +81,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(total[seen])], ["lang", "gram", "n"])
 
     # bounded by the sample: a gram of a language is a row, added up before and after the shuffle
-    sums = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = in_small_batches(rows).mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model: dict[str, np.ndarray] = {r["lang"]: np.zeros(GRAMS, np.int64) for r in rows.select("lang").distinct().collect()}
     told = sums.toPandas()
     for lang, some in told.groupby("lang"):
@@ -110,7 +110,7 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
                 said.append(ll * min(1.0, TRUST / max(1, len(g))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.string()), pa.array(said, pa.list_(pa.float64()))], ["page_id", "host", "declared", "ll"])
 
-    out = pages.select("page_id", _host(F.col("url")).alias("host"), "html").mapInArrow(run, "page_id bigint, host string, declared string, ll array<double>")
+    out = in_small_batches(pages).select("page_id", _host(F.col("url")).alias("host"), "html").mapInArrow(run, "page_id bigint, host string, declared string, ll array<double>")
     labels = F.split("host", r"\.")
     domain = F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host"))
     return out.withColumn("domain", domain).withColumn("suffix", F.element_at(labels, -1))

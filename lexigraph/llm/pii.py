@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "phone_local", "ssn")
 #: Least score of a span of an extra kind.
@@ -122,7 +124,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans_of(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [key, "spans"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {_SPANS}")
+    return in_small_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {_SPANS}")
 
 
 def redacted(text: str | None) -> str | None:
@@ -154,7 +156,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
                 columns[size] = pa.array([n if a == b else len(b) for n, a, b in zip(kept, old, new, strict=True)], batch.column(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:

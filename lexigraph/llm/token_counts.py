@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 MARK = "▁"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -122,4 +124,4 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text", key: st
             tokens = [sum(map(counts.__getitem__, w)) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(tokens, pa.int64())], [key, "n_words", "n_tokens"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words bigint, n_tokens bigint")
+    return in_small_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words bigint, n_tokens bigint")
