@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Tasks that write a table, for each core.
+TASKS = 8
 _MADE: list[Scratch] = []
 
 
@@ -48,7 +50,9 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage.
 
     A lost executor costs only the tasks of the current step: what earlier
-    steps wrote is read again from the shared folder.
+    steps wrote is read again from the shared folder. A table is written by at most
+    :data:`TASKS` tasks a core, so that many small partitions don't become as many
+    small files.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -57,7 +61,7 @@ class Scratch:
         _MADE.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.coalesce(TASKS * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{self.root}/{name}")
         del df
         self.release()
         return self.spark.read.parquet(f"{self.root}/{name}")
