@@ -127,15 +127,13 @@ def summed(parts: DataFrame, width: int, scratch: Scratch, name: str) -> np.ndar
 
     now, level = scratch.save(parts.select("slice", "item", "counts").mapInArrow(add, "slice int, item int, counts binary"), f"{name}-0"), 0
     tasks = now.rdd.getNumPartitions()  # of a plain scan
-    while True:
+    while tasks > 1:
         tasks, level = -(-tasks // FAN_IN), level + 1
-        now = scratch.save(now.coalesce(max(1, tasks)).mapInArrow(add, "slice int, item int, counts binary"), f"{name}-{level}")
+        now = scratch.save(now.coalesce(tasks).mapInArrow(add, "slice int, item int, counts binary"), f"{name}-{level}")
         scratch.drop(f"{name}-{level - 1}")
-        if tasks <= 1:
-            break
     out = np.zeros(width, np.int64)
     for row in now.toLocalIterator():
-        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.uint16 if row["item"] == 2 else np.int64)
+        out[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(row["counts"], np.uint16 if row["item"] == 2 else np.int64)
     return out
 
 

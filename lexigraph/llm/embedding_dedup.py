@@ -138,8 +138,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     found = scratch.save(found, "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
-    placed = scratch.save(components.join(classes.select("node", "rep"), "node"), "placed")
-    least = scratch.save(placed.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    placed = components.join(classes.select("node", "rep"), "node")
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
     placed = spread_join(placed.select("node", "component"), least, "component").select("node", "least")
 
     known = classes.join(links, "node", "left").join(placed, "node", "left")

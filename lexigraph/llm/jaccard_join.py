@@ -490,8 +490,8 @@ def _labelled(docs: DataFrame, scratch: Scratch, threshold, digest_bits: int = 6
                 found = scratch.save(connected_components(edges, scratch, "second"), "found")
 
     reps = classes.select("cls", "rep")
-    named = scratch.save(found.withColumnsRenamed({"node": "cls", "component": "root"}).join(reps, "cls"), "named")
-    least = scratch.save(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    named = found.withColumnsRenamed({"node": "cls", "component": "root"}).join(reps, "cls")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
     labels = spread_join(named, least, "root").select("cls", "root", "least")
     labels = reps.join(labels, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("label"))
     labels = scratch.save(labels, "labels")
@@ -526,8 +526,8 @@ def keep_first(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
     some = in_small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows, identity = _labelled(some, scratch, threshold, **sizes)
     rows = scratch.save(rows.where("cls is not null"), "rows")
-    repeated = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null").select("doc_id"), "repeated")
-    if repeated.isEmpty():
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null").select("doc_id")
+    if not repeated.count():
         gone = scratch.last(rows.where("doc_id <> label").select(F.col("doc_id").alias(key)), "gone")
         return anti(docs, gone, key)
     return _keep_first_of_repeated(docs, rows, repeated, identity, scratch, text, key)
@@ -536,7 +536,7 @@ def keep_first(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: st
 def _keep_first_of_repeated(docs, rows, repeated, identity: Identity, scratch: Scratch, text: str, key: str) -> DataFrame:
     """:func:`keep_first` where ids repeat or are null: rows of such ids are told by their texts' classes."""
     odd = F.col("doc_id").eqNullSafe(F.col("odd"))
-    repeated = repeated.select(F.col("doc_id").alias("odd"))
+    repeated = scratch.save(repeated.select(F.col("doc_id").alias("odd")), "repeated")
     plain = rows.join(repeated, odd, "left_anti").where("label is null or doc_id <> label").select(F.col("doc_id").alias(key))
     # a group keeps one of its repeated rows only if its smallest id is such a one
     groups = rows.join(repeated, odd, "left_semi").where(F.col("doc_id").eqNullSafe(F.col("label"))).select("cls", "root").distinct()
