@@ -155,6 +155,7 @@ ROUTER_RULES = [
     ("domain_logic", r"\b(ratings?|bookshelves?)\b", 0.7),
 ]
 GENERAL = ("general", 0.3)
+CATEGORY_ALPHA = {"marc_catalog": 0.75, "solr_search": 0.70, "script_tool": 0.70, "refactor": 0.60, "api_route": 0.45, "ui_frontend": 0.35, "domain_logic": 0.30, "general": 0.50}
 LEXICAL_FIRST = ("marc_catalog", "solr_search", "script_tool", "refactor")
 FOCUS = {
     "api_route": ["plugins", "fastapi"],

@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.lineage import cut
 from .ranking import top
 
 
 def term_counts(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
     """``(key, dl, term, tf)``; documents without tokens drop out."""
-    words = docs.select(F.col(key), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    return words.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    return exploded(docs, tokens, key).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def exploded(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
+    """``(key, dl, term)``, a row a token; the tokens are made once, which a filter on them would double."""
+    words = docs.select(F.col(key), tokens.alias("tokens"))
+    return words.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
 
 
 def scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "item_id", tokens=T.code_tokens, query_tokens=T.issue_tokens, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``(query, key, score)`` of every document that shares a term; a term said twice in a query counts twice."""
-    counted = term_counts(docs, tokens(F.col("text")), key)
+    """``(query, key, score)`` of every document that shares a term; a term said twice in a query counts twice.
+
+    Tokens of other terms leave before anything is counted or shuffled; what is
+    left, the postings asked for, is kept for the document frequencies and for
+    the scores. The corpus figures are one aggregate of lengths.
+    """
     asked = queries.select(F.col(query), F.explode(query_tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    # only asked terms go on: the semi join prunes postings before they are shuffled
-    lengths = docs.select(F.size(tokens(F.col("text"))).alias("dl")).where("dl > 0")
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.join(asked.select("term").distinct(), "term", "left_semi")
+    lengths = docs.select(F.nullif(F.size(tokens(F.col("text"))), F.lit(0)).alias("dl"))
+    lengths = lengths.select(F.when(F.col("dl") > 0, F.col("dl")).alias("dl"))
+    corpus = lengths.agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
+    mine = exploded(docs, tokens(F.col("text")), key).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = cut(mine.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     found = postings.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus))  # corpus: one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -69,7 +69,7 @@ def concepts(occurrences: DataFrame, order: str = "ordinal") -> DataFrame:
 def longest_definition(occurrences: DataFrame) -> DataFrame:
     """``(canonical_name, definition)``: the longest, earliest on ties."""
     known = occurrences.where("definition <> ''")
-    return known.groupBy(F.col("split_name").alias("canonical_name")).agg(F.max_by("definition", F.struct(F.length("definition"), -F.col("ordinal"))).alias("definition"))
+    return known.groupBy(F.col("split_name").alias("canonical_name")).agg(F.min_by("definition", F.struct(-F.length("definition"), "ordinal", "definition")).alias("definition"))
 
 
 def concept_text(concepts: DataFrame, definitions: DataFrame, raws: int = 3) -> DataFrame:

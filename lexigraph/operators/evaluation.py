@@ -21,6 +21,19 @@ def first_hits(predictions: DataFrame, truth: DataFrame, key: str = "issue_id",
     return truth.select(key).distinct().join(joined.groupBy(key).agg(F.min("rank").alias("rank")), key, "left")
 
 
+def first_function_hits(predictions: DataFrame, truth: DataFrame, key: str = "issue_id") -> DataFrame:
+    """``(key, rank)`` of the first file, matched by suffix, one of whose ``top_functions`` is the right one, for every key with a function in ``truth``.
+
+    ``truth`` is ``(key, file_path, function)``; a file without functions counts
+    as a rank but never as right.
+    """
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    right = truth.where("coalesce(file_path, '') <> '' and coalesce(function, '') <> ''").select(key, F.col("file_path").alias("t"), "function", last(F.col("file_path")).alias("last"))
+    told = predictions.select(key, "rank", F.col("file_path").alias("p"), last(F.col("file_path")).alias("last"), F.explode(F.transform("top_functions", lambda f: f["name"])).alias("function"))
+    joined = told.join(right, [key, "last", "function"]).where(F.endswith("p", F.col("t")) | F.endswith(F.col("t"), F.col("p")))
+    return right.select(key).distinct().join(joined.groupBy(key).agg(F.min("rank").alias("rank")), key, "left")
+
+
 def holding(docs: DataFrame, passages: DataFrame, key: str = "item_id", item: str = "doc_id", width: int = 4) -> DataFrame:
     """``(key, item)``: documents whose text has a passage's whole ``text`` in it.
 

@@ -13,7 +13,7 @@ SCHEMA = "file_path string, ordinal int, raw_identifier string, identifier_type
 
 
 def _targets(node: ast.AST):
-    """Names that an assignment target binds; of an attribute, its last part."""
+    """Names that an assignment target binds; of an attribute its last part, of an element what holds it."""
     match node:
         case ast.Name(id=name):
             yield name
@@ -22,7 +22,7 @@ def _targets(node: ast.AST):
         case ast.Tuple(elts=parts) | ast.List(elts=parts):
             for part in parts:
                 yield from _targets(part)
-        case ast.Starred(value=inner):
+        case ast.Starred(value=inner) | ast.Subscript(value=inner):
             yield from _targets(inner)
 
 

@@ -138,7 +138,10 @@ def concept_cards(concepts: DataFrame, edges: DataFrame, concept_file: DataFrame
 
 
 def walk(seeds: DataFrame, edges: DataFrame, concept_file: DataFrame | None = None, hops: int = 3, least: float = 0.01, factors: dict | None = None, ratio: float = 0.30, by: tuple[str, ...] = ()) -> DataFrame:
-    """Weights of the strongest walk from any seed: ``(by..., node, weight, hop, via, edge_type)``.
+    """Weights of the strongest walk from any seed: ``(by..., node, weight, hop, via, edge_type, seed, path)``.
+
+    ``path`` is the walk itself, from its seed: ``(concept, edge_type)`` of every
+    node, with the kind of edge that led there.
 
     A step multiplies by the edge's weight and its kind's factor. The gain never
     rises along a walk, so per hop only the best walk into a node can go on to be
@@ -157,12 +160,15 @@ def walk(seeds: DataFrame, edges: DataFrame, concept_file: DataFrame | None = No
     keys = [*by, "node"]
     start = seeds.groupBy(*keys).agg(F.max("weight").alias("weight"))
     none = F.lit(None).cast("string")
-    reached = start.select(*keys, "weight", F.lit(0).alias("hop"), none.alias("via"), none.alias("edge_type"))
+    step = lambda node, kind: F.array(F.struct(node.alias("concept"), kind.alias("edge_type")))
+    start = start.withColumn("path", step(F.col("node"), none))
+    reached = start.select(*keys, "weight", F.lit(0).alias("hop"), none.alias("via"), none.alias("edge_type"), "path")
     front = start
     for h in range(1, hops + 1):
-        grown = front.join(near, "node").select(*by, F.col("nbr"), (F.col("weight") * F.col("gain")).alias("weight"), F.col("node").alias("via"), "type").where(F.col("weight") >= least)
-        best = grown.groupBy(*by, "nbr").agg(F.max(F.struct("weight", "via", "type")).alias("w"))
-        best = best.select(*by, F.col("nbr").alias("node"), "w.weight", F.lit(h).alias("hop"), "w.via", F.col("w.type").alias("edge_type"))
-        reached = reached.unionByName(best.select(*keys, "weight", "hop", "via", "edge_type"))
-        front = best.select(*keys, "weight")
-    return top(reached, keys, [F.desc("weight"), "hop", "via"], 1, "_r").drop("_r")
+        grown = front.join(near, "node").select(*by, F.col("nbr"), (F.col("weight") * F.col("gain")).alias("weight"), F.col("node").alias("via"), "type", F.concat("path", step(F.col("nbr"), F.col("type"))).alias("path")).where(F.col("weight") >= least)
+        best = grown.groupBy(*by, "nbr").agg(F.max(F.struct("weight", "via", "type", "path")).alias("w"))
+        best = best.select(*by, F.col("nbr").alias("node"), "w.weight", F.lit(h).alias("hop"), "w.via", F.col("w.type").alias("edge_type"), "w.path")
+        reached = reached.unionByName(best.select(*keys, "weight", "hop", "via", "edge_type", "path"))
+        front = best.select(*keys, "weight", "path")
+    found = top(reached, keys, [F.desc("weight"), "hop", "via"], 1, "_r").drop("_r")
+    return found.withColumn("seed", F.col("path")[0]["concept"])

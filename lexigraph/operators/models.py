@@ -170,6 +170,16 @@ def require(definitions: DataFrame, least: float = 0.5) -> None:
         raise DefinitionsFailed(f"{row['given']} of {row['asked']} definitions")
 
 
+def suggested(terms: DataFrame, edges: DataFrame, concept_file: DataFrame, each: int = 3, most: int = 10, key: str = "issue_id") -> DataFrame:
+    """``(key, concept)``: the first neighbours by name of every known term, known terms left out, ``most`` a key."""
+    asked = terms.select(key, F.lower("term").alias("term")).distinct()
+    known = asked.join(concept_file.select(F.col("concept").alias("term")).distinct(), "term", "left_semi")
+    near = known.join(undirected(edges), F.col("term") == F.col("node")).select(key, "term", F.col("nbr").alias("concept"))
+    first = top(near, [key, "term"], ["concept"], each, "r").select(key, "concept").distinct()
+    new = first.join(known.withColumnRenamed("term", "concept"), [key, "concept"], "left_anti")
+    return top(new, [key], ["concept"], most, "r").select(key, "concept")
+
+
 def diagnosed(terms: DataFrame, edges: DataFrame, concept_file: DataFrame, k: int = 10, key: str = "issue_id") -> dict[str, DataFrame]:
     """What a model's terms ``(key, term)`` lead to: terms known and not, files ranked, and how far to trust it.
 

@@ -54,7 +54,7 @@ def fallback_seeds(issues: DataFrame, concepts: DataFrame, key: str = "issue_id"
 
 def chosen_sense(seeds: DataFrame, similar_senses: DataFrame, key: str = "issue_id") -> DataFrame:
     """Seeds with the cluster whose definition is most like the issue, where a concept has several: ``similar_senses(key, concept, cluster, sim)``."""
-    best = similar_senses.groupBy(key, "concept").agg(F.max_by("cluster", F.struct(F.round("sim", 6), -F.col("cluster"))).alias("cluster"))
+    best = similar_senses.groupBy(key, "concept").agg(F.max_by("cluster", F.struct(T.half_even("sim", 6), -F.col("cluster"))).alias("cluster"))
     return seeds.join(best, [key, "concept"], "left")
 
 
@@ -67,19 +67,23 @@ def file_scores(weights: DataFrame, occurrences: DataFrame, files: int, k: int =
     the occurrences that count where a concept's sense has been chosen.
     """
     occ = occurrences.select("occurrence_id", F.col("split_name").alias("concept"), "file_path", "function_name").where("concept <> ''")
-    df = occ.groupBy("concept").agg(F.countDistinct("file_path").alias("df"))
-    held = occ.groupBy("file_path").agg(F.countDistinct("concept").alias("total"))
-    hits = weights.select(key, "concept", "weight").join(occ, "concept").join(df, "concept")
-    if locked is not None:
+    # occurrences of a concept in a function are counted once for all issues
+    counted = occ.groupBy("concept", "file_path", "function_name").agg(F.count("*").alias("times"))
+    df = counted.groupBy("concept").agg(F.countDistinct("file_path").alias("df"))
+    held = counted.groupBy("file_path").agg(F.countDistinct("concept").alias("total"))
+    if locked is None:
+        hits = weights.select(key, "concept", "weight").join(counted, "concept").join(df, "concept").withColumn("weight", F.col("weight") * F.col("times"))
+    else:
+        hits = weights.select(key, "concept", "weight").join(occ, "concept").join(df, "concept")
         senses = locked.select(key, "concept").distinct().withColumn("is_locked", F.lit(True))
         allowed = locked.select(key, "concept", "occurrence_id").withColumn("allowed", F.lit(True))
         hits = hits.join(senses, [key, "concept"], "left").join(allowed, [key, "concept", "occurrence_id"], "left").where("is_locked is null or allowed")
-    # occurrences of one concept in one function add up before anything is shuffled by file
+    # what one concept says for one function adds up before anything is shuffled by file
     hits = hits.groupBy(key, "file_path", "function_name", "concept").agg((F.sum("weight") * F.first(T.idf(F.lit(files), F.col("df")))).alias("s"))
     scored = hits.groupBy(key, "file_path").agg(F.sum("s").alias("raw"), F.array_sort(F.collect_set("concept")).alias("concepts")).join(held, "file_path")
-    scored = scored.withColumn("n_concepts", F.size("concepts")).withColumn("score", F.round(F.col("raw") * (1.0 + density * F.col("n_concepts") / F.col("total")), 4))
+    scored = scored.withColumn("n_concepts", F.size("concepts")).withColumn("score", T.half_even(F.col("raw") * (1.0 + density * F.col("n_concepts") / F.col("total")), 4))
     ranked = top(scored, [key], [F.desc("score"), "file_path"], k).select(key, "rank", "file_path", "score", "n_concepts", "concepts")
-    by_function = hits.where("coalesce(function_name, '') <> ''").join(ranked.select(key, "file_path"), [key, "file_path"], "left_semi").groupBy(key, "file_path", "function_name").agg(F.round(F.sum("s"), 4).alias("score"))
+    by_function = hits.where("coalesce(function_name, '') <> ''").join(ranked.select(key, "file_path"), [key, "file_path"], "left_semi").groupBy(key, "file_path", "function_name").agg(T.half_even(F.sum("s"), 4).alias("score"))
     best = top(by_function, [key, "file_path"], [F.desc("score"), "function_name"], functions, "r").groupBy(key, "file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "function_name", "score"))), lambda x: F.struct(x["function_name"].alias("name"), x["score"].alias("score"))).alias("top_functions"))
     return ranked.join(best, [key, "file_path"], "left")
 
@@ -98,13 +102,13 @@ def soft_boost(orphans: DataFrame, soft: DataFrame, files: int, share: float = 0
 
 def boosted(ranked: DataFrame, boost: DataFrame, key: str = "issue_id") -> DataFrame:
     """The same files, in the order of score plus boost."""
-    rows = ranked.drop("rank").join(boost, [key, "file_path"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 4)).drop("boost")
+    rows = ranked.drop("rank").join(boost, [key, "file_path"], "left").withColumn("score", T.half_even(F.col("score") + F.coalesce("boost", F.lit(0.0)), 4)).drop("boost")
     return top(rows, [key], [F.desc("score"), "file_path"], 1 << 30)
 
 
 def soft_only(orphans: DataFrame, soft: DataFrame, files: int, k: int = 10, share: float = 0.3, key: str = "issue_id") -> DataFrame:
     """Ranking by orphan tokens alone, for issues without seeds."""
-    rows = soft_boost(orphans, soft, files, share, key).withColumn("score", F.round("boost", 4)).drop("boost")
+    rows = soft_boost(orphans, soft, files, share, key).withColumn("score", T.half_even("boost", 4)).drop("boost")
     return top(rows, [key], [F.desc("score"), "file_path"], k)
 
 
@@ -123,16 +127,36 @@ def architecture_boost(ranked: DataFrame, cards: DataFrame, issues: DataFrame, s
     asked = issues.select(F.col(key), T.issue_tokens(F.col("text")).alias("tokens"))
     rows = ranked.drop("rank").join(cards_of(ranked, cards), "file_path", "left").join(cards.select(F.col("file_path").alias("card"), "key_concepts"), "card", "left").join(asked, key)
     hits = F.size(F.filter(F.coalesce("key_concepts", F.array().cast("array<string>")), lambda c: F.exists("tokens", lambda t: F.contains(F.lower(c), t))))
-    rows = rows.withColumn("score", F.round(F.col("score") * (1.0 + F.least(hits * step, F.lit(most))), 4)).drop("card", "key_concepts", "tokens")
+    rows = rows.withColumn("score", T.half_even(F.col("score") * (1.0 + F.least(hits * step, F.lit(most))), 4)).drop("card", "key_concepts", "tokens")
     return top(rows, [key], [F.desc("score"), "file_path"], 1 << 30)
 
 
-def layer_boost(cards: DataFrame, issues: DataFrame, key: str = "issue_id") -> DataFrame:
-    """``(key, file_path, boost)``: 0.15 for every key concept that a token equals, 0.10 for a named layer, 0.5 at most."""
-    asked = issues.select(F.col(key), F.explode(F.array_distinct(T.issue_tokens(F.col("text")))).alias("token"))
-    concepts = cards.select("file_path", F.explode(F.array_distinct(F.transform("key_concepts", F.lower))).alias("token"), F.lit(0.15).alias("b"))
-    layers = cards.select("file_path", F.lower("layer").alias("token"), F.lit(0.10).alias("b"))
-    return asked.join(concepts.unionByName(layers), "token").groupBy(key, "file_path").agg(F.least(F.sum("b"), F.lit(0.5)).alias("boost"))
+def layer_boost(ranked: DataFrame, cards: DataFrame, issues: DataFrame, key: str = "issue_id") -> DataFrame:
+    """``(key, file_path, boost)`` of ranked files: 0.15 for every key concept that holds a token or is held by one, 0.10 for a named layer, 0.5 at most."""
+    asked = issues.select(F.col(key), T.issue_tokens(F.col("text")).alias("tokens"))
+    rows = ranked.select(key, "file_path").join(module_info(ranked, cards), "file_path").join(asked, key)
+    alike = lambda c: F.exists("tokens", lambda t: F.contains(F.lower(c), t) | F.contains(t, F.lower(c)))
+    boost = F.size(F.filter("key_concepts", alike)) * 0.15 + F.when(F.array_contains("tokens", F.lower("layer")), 0.10).otherwise(0.0)
+    return rows.select(key, "file_path", F.least(boost, F.lit(0.5)).alias("boost")).where("boost > 0")
+
+
+def module_info(files: DataFrame, cards: DataFrame) -> DataFrame:
+    """``(file_path, layer, key_concepts)`` of every file; a file without a card is of the layer ``unknown``."""
+    card = cards.select(F.col("file_path").alias("card"), "layer", "key_concepts")
+    known = cards_of(files, cards).join(card, "card").drop("card")
+    rows = files.select("file_path").distinct().join(known, "file_path", "left")
+    return rows.select("file_path", F.coalesce("layer", F.lit("unknown")).alias("layer"), F.coalesce("key_concepts", F.array().cast("array<string>")).alias("key_concepts"))
+
+
+def files_of_concepts(cards: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, file_path)``: files one of whose key concepts is the term."""
+    held = cards.select("file_path", F.explode(F.array_distinct(F.transform("key_concepts", F.lower))).alias("low"))
+    return terms.select("term", F.lower("term").alias("low")).distinct().join(held, "low").select("term", "file_path")
+
+
+def files_of_layers(cards: DataFrame, layers: DataFrame) -> DataFrame:
+    """``(layer, file_path)`` of the layers asked for."""
+    return cards.select("layer", "file_path").join(layers.select("layer").distinct(), "layer")
 
 
 def skeletons(ranked: DataFrame, occurrences: DataFrame, k: int = 10, key: str = "issue_id") -> DataFrame:
@@ -146,12 +170,12 @@ def skeletons(ranked: DataFrame, occurrences: DataFrame, k: int = 10, key: str =
 
 
 def explanations(ranked: DataFrame, reached: DataFrame, seeds: DataFrame, most: int = 15, key: str = "issue_id") -> DataFrame:
-    """``(key, file_path, explanation)``: an issue's seeds, and for each concept of a file the last step that reached it.
+    """``(key, file_path, explanation)``: an issue's seeds, and for each concept of a file the path that reached it.
 
-    ``reached`` is the walk's result ``(key, node, weight, hop, via, edge_type)``.
+    ``reached`` is the walk's result with ``path``.
     """
     named = top(seeds, [key], [F.desc("weight"), "concept"], most, "r").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "concept"))), lambda x: x["concept"]), ", ").alias("seeds"))
-    steps = reached.select(key, F.col("node").alias("concept"), T.path_text(F.when(F.col("via").isNull(), F.array(F.struct(F.col("node").alias("concept"), F.col("edge_type")))).otherwise(F.array(F.struct(F.col("via").alias("concept"), F.lit(None).cast("string").alias("edge_type")), F.struct(F.col("node").alias("concept"), F.col("edge_type"))))).alias("step"))
+    steps = reached.select(key, F.col("node").alias("concept"), T.path_text(F.col("path")).alias("step"))
     each = ranked.select(key, "file_path", F.explode("concepts").alias("concept")).join(steps, [key, "concept"])
     text = each.groupBy(key, "file_path").agg(F.array_join(F.array_sort(F.collect_list("step")), "; ").alias("steps"))
     return text.join(named, key, "left").select(key, "file_path", F.concat_ws("\n", F.concat(F.lit("seeds: "), "seeds"), F.concat(F.lit("reached: "), "steps")).alias("explanation"))

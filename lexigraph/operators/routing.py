@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import words
 from ..functions.text import subdomain
 from .ranking import scaled_to_max, top
@@ -24,7 +25,7 @@ def classify(issues: DataFrame, text: Column, rules=words.ROUTER_RULES, ignore_c
         for category, pattern, weight in rules:
             if category == name:
                 total = total + F.when(low.rlike(("(?i)" if ignore_case else "") + pattern), weight).otherwise(0.0)
-        score[name] = F.least(F.round(total, 6), F.lit(1.0))
+        score[name] = F.least(T.half_even(total, 6), F.lit(1.0))
     rows = issues.select(F.col(key), F.array(*[F.struct(F.lit(n).alias("category"), score[n].alias("score")) for n in names]).alias("scores"))
     rows = rows.withColumn("most", F.array_max(F.transform("scores", lambda s: s["score"])))
     first = F.get(F.filter("scores", lambda s: s["score"] == F.col("most")), F.lit(0))["category"]
@@ -66,12 +67,22 @@ def weighted_fusion(graph: DataFrame, lexical: DataFrame, category: DataFrame |
         both = both.join(category.select(key, "category"), key, "left")
         share = F.when(lexical_first(F.col("category")), 0.85).otherwise(0.40) if alpha is None else share
         raised = F.when(focus(F.col("category"), F.col("file_path")), bonus).otherwise(1.0)
-    rows = both.select(key, "file_path", F.round((share * F.col("l") + (1 - share) * F.col("g")) * raised, digits).alias("score"))
+    rows = both.select(key, "file_path", T.half_even((share * F.col("l") + (1 - share) * F.col("g")) * raised, digits).alias("score"))
     return top(rows, [key], [F.desc("score"), "file_path"], k)
 
 
-def reciprocal_rank_fusion(graph: DataFrame, lexical: DataFrame, alpha: float = 0.6, k: int = 10, c: int = 60, missing: int = 50, key: str = "issue_id") -> DataFrame:
-    """alpha / (c + lexical rank) + (1 - alpha) / (c + graph rank); a file missing from one side ranks ``missing`` there."""
+def reciprocal_rank_fusion(graph: DataFrame, lexical: DataFrame, alpha: float = 0.6, k: int = 10, c: int = 60, missing: int = 50, key: str = "issue_id", category: DataFrame | None = None, bonus: float = 1.10) -> DataFrame:
+    """alpha / (c + lexical rank) + (1 - alpha) / (c + graph rank); a file missing from one side ranks ``missing`` there.
+
+    With ``category(key, category)`` alpha is the category's, and files in the
+    directories that the category is about are raised by ``bonus``.
+    """
+    share, raised = F.lit(alpha), F.lit(1.0)
     both = graph.select(key, "file_path", F.col("rank").alias("g")).join(lexical.select(key, "file_path", F.col("rank").alias("l")), [key, "file_path"], "full").na.fill(missing, ["g", "l"])
-    rows = both.select(key, "file_path", F.round(alpha / (c + F.col("l")) + (1 - alpha) / (c + F.col("g")), 8).alias("score"))
+    if category is not None:
+        both = both.join(category.select(key, "category"), key, "left")
+        by_name = F.create_map(*[F.lit(x) for kv in words.CATEGORY_ALPHA.items() for x in kv])
+        share = F.coalesce(F.try_element_at(by_name, F.col("category")), F.lit(0.5))
+        raised = F.when(focus(F.col("category"), F.col("file_path")), bonus).otherwise(1.0)
+    rows = both.select(key, "file_path", T.half_even((share / (c + F.col("l")) + (1 - share) / (c + F.col("g"))) * raised, 8).alias("score"))
     return top(rows, [key], [F.desc("score"), "file_path"], k)

@@ -100,6 +100,12 @@ def sense_components(vectors: DataFrame, eps: float = 0.55, by: str = "name", ke
     return label.join(number, "component").select(F.col("name").alias(by), F.col("id").alias(key), "cluster")
 
 
+def polysemy_summary(labels: DataFrame, by: str = "name") -> DataFrame:
+    """One row: names of several senses, names looked at, senses in all, from :func:`clusters`."""
+    each = labels.groupBy(by).agg(F.countDistinct("cluster").alias("senses"))
+    return each.agg(F.count(F.when(F.col("senses") > 1, 1)).alias("concepts_with_multiple_meanings"), F.count("*").alias("total_concepts_checked"), F.coalesce(F.sum("senses"), F.lit(0)).alias("total_clusters"))
+
+
 def representatives(vectors: DataFrame, labels: DataFrame, by: str = "name", key: str = "id", vector: str = "emb") -> DataFrame:
     """Per cluster the member nearest its centre, and how tight it is (1 - mean distance)."""
     rows = labels.join(vectors.select(key, F.col(vector).alias("emb")), key)

@@ -2,9 +2,9 @@
 
 The tables hold no source code, so they stand in for it: documents are files,
 benchmark passages and conversations are issues, order lines are occurrences of
-brand-and-size concepts in the supplier's file, and suppliers, nations and
-regions are the graph. Every query runs over whole tables, except those that
-parse source code or work on what was parsed: ``ast_extract``, ``module_cards``,
+brand-and-size concepts in the supplier's file, parts are source files of one
+form, and suppliers, nations and regions are the graph. Every query runs over whole tables, except those that
+work on what was parsed from source code: ``module_cards``,
 ``graph_build``, ``localize_issues``, ``hybrid_ranking``, ``skeletons`` and
 ``cached_definitions`` are fixed fixtures of five files and three issues.
 """
@@ -225,9 +225,7 @@ def concept_aggregate(spark, d):
 
 @query(f"""WITH {_OCC} SELECT split_name AS canonical_name, arg_min(definition, (-length(definition), ordinal, definition)) AS definition FROM occ GROUP BY 1""")
 def longest_definitions(spark, d):
-    occ = occurrences(spark, d)
-    least = occ.groupBy(F.col("split_name").alias("canonical_name")).agg(F.min_by("definition", F.struct(-F.length("definition"), "ordinal", "definition")).alias("definition"))
-    return least
+    return concepts.longest_definition(occurrences(spark, d))
 
 
 @query(f"""WITH {_OCC}, d AS (SELECT occurrence_id, arg_max(definition, (ordinal, definition)) AS definition FROM occ GROUP BY 1)
@@ -315,6 +313,11 @@ def sense_clusters(spark, d):
     return senses.clusters(_vectors(spark, d).withColumnRenamed("label", "name"), 1.2)
 
 
+@query(f"WITH RECURSIVE {_EPS}, n AS (SELECT name, count(DISTINCT cluster) AS c FROM lab GROUP BY 1) SELECT count(*) FILTER (c > 1) AS concepts_with_multiple_meanings, count(*) AS total_concepts_checked, sum(c)::BIGINT AS total_clusters FROM n")
+def polysemy_summary(spark, d):
+    return senses.polysemy_summary(senses.clusters(_vectors(spark, d).withColumnRenamed("label", "name"), 1.2))
+
+
 @query("""WITH e AS (SELECT label AS name, vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
 c AS (SELECT name, k, avg(x) AS c FROM e GROUP BY ALL), f AS (SELECT name, id, round(sqrt(sum((x - c) ** 2)), 6) AS dist FROM e JOIN c USING (name, k) GROUP BY ALL)
 SELECT name, 0 AS cluster, count(*) AS members, arg_min(id, (dist, id)) AS representative, round(1 - avg(dist), 4) AS distinctiveness FROM f GROUP BY name""")
@@ -430,7 +433,13 @@ def shortest_path(spark, d):
     return graph.shortest_path(edges(spark, d), "S5", "S0").withColumn("path", F.array_join("path", ">"))
 
 
-@query()
+_S5_PATH = f"""{_EDGES}, h0 AS (SELECT 'S5' AS node, ['S5'] AS path), h1 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h0 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1),
+h2 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h1 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1), h3 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h2 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1),
+f AS (SELECT 1 AS hops, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3), best AS (SELECT path FROM f WHERE node = 'S0' ORDER BY hops, path LIMIT 1)"""
+
+
+@query(f"""WITH {_S5_PATH}, st AS (SELECT i::INT AS step, path[i + 1] AS src, path[i + 2] AS dst FROM (SELECT path, unnest(range(0, len(path) - 1)) AS i FROM best))
+SELECT 'S5' AS source, 'S0' AS target, step, src, dst, arg_max(type, (weight, type)) AS type, max(weight) AS weight FROM st JOIN both_ways ON node = src AND nbr = dst GROUP BY ALL""")
 def explained_path(spark, d):
     e = edges(spark, d)
     return graph.explained(graph.shortest_path(e, "S5", "S0"), e)
@@ -467,6 +476,19 @@ def weighted_walk(spark, d):
     return graph.walk(_seeds(spark), edges(spark, d), concept_file(spark, d), ratio=0.042).select("node", F.round("weight", 6).alias("weight"))
 
 
+_HOP = "SELECT nbr AS node, arg_max(path || [nbr], (weight * gain, node, type)) AS path, max(weight * gain) AS weight, arg_max(node, (weight * gain, node, type)) AS via FROM {} JOIN g USING (node) WHERE weight * gain >= 0.01 GROUP BY 1"
+
+
+@query(f"""WITH {_EDGES}, {_SEEDS}, {_CF}, common AS (SELECT concept FROM cf GROUP BY 1 HAVING count(*) > 0.042 * (SELECT count(DISTINCT file) FROM cf)),
+k AS (SELECT node, nbr, type, weight * CASE WHEN type = 'co-occurrence' THEN 0.5 WHEN track = 'semantic' THEN 0.2 ELSE 1.0 END AS gain FROM both_ways WHERE node NOT IN (FROM common) AND nbr NOT IN (FROM common)),
+g AS (SELECT node, nbr, max(gain) AS gain, arg_max(type, (gain, type)) AS type FROM k GROUP BY ALL), h0 AS (SELECT node, [node] AS path, weight, NULL::VARCHAR AS via FROM seed),
+h1 AS ({_HOP.format("h0")}), h2 AS ({_HOP.format("h1")}), h3 AS ({_HOP.format("h2")}), f AS (SELECT 0 AS hop, * FROM h0 UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3)
+SELECT node, path[1] AS seed, array_to_string(path, '>') AS path FROM f QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, hop, via NULLS FIRST) = 1""")
+def walk_paths(spark, d):
+    found = graph.walk(_seeds(spark), edges(spark, d), concept_file(spark, d), ratio=0.042)
+    return found.select("node", "seed", F.array_join(F.transform("path", lambda s: s["concept"]), ">").alias("path"))
+
+
 @query(f"WITH {_CF} SELECT file, concept FROM cf WHERE file = (SELECT file FROM cf WHERE file = 'o12' OR ends_with(file, 'o12') OR ends_with('o12', file) OR contains(file, 'o12') ORDER BY file = 'o12' DESC, length(file) DESC, file LIMIT 1)")
 def concepts_in_file(spark, d):
     return graph.concepts_in_file(concept_file(spark, d), "o12")
@@ -496,7 +518,7 @@ def _truth(spark, d):
     return evaluation.holding(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
 
 
-_TRUTH = "truth AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text[:80]))"
+_TRUTH = "truth AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _EVAL = "count(*) AS n, round(avg((rank IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(coalesce((rank = 1)::INT, 0)), 6) AS top1"
 
 
@@ -624,6 +646,36 @@ def architecture_boost(spark, d):
     return retrieval.architecture_boost(_ranked(spark, d), _cards(spark, d), _soft(spark, d)[1]).select("issue_id", "file_path", "score", "rank")
 
 
+@query(f"""WITH {_RANKED}, {_SOFT}, {_CARDS}, a AS (SELECT issue_id, {_TOKENS} AS tokens FROM iss),
+b AS (SELECT issue_id, file_path, least(0.15::DOUBLE * len(list_filter(kc, lambda c: len(list_filter(tokens, lambda t: contains(lower(c), t) OR contains(t, lower(c)))) > 0)) + CASE WHEN list_contains(tokens, 'core') THEN 0.1::DOUBLE ELSE 0 END, 0.5) AS boost FROM rk JOIN a USING (issue_id) JOIN cards USING (file_path))
+SELECT issue_id, file_path, round(boost, 6) AS boost FROM b WHERE boost > 0""")
+def module_boost(spark, d):
+    return retrieval.layer_boost(_ranked(spark, d), _cards(spark, d), _soft(spark, d)[1]).select("issue_id", "file_path", F.round("boost", 6).alias("boost"))
+
+
+@query(f"""WITH {_CARDS}, f AS (SELECT 's' || s_suppkey || '.py' AS file_path, file_path AS card FROM supplier JOIN cards ON ends_with(file_path, '/s' || s_suppkey || '.py') UNION ALL SELECT 'none' || n_nationkey || '.py', NULL FROM nation)
+SELECT f.file_path, CASE WHEN card IS NULL THEN 'unknown' ELSE 'core' END AS layer, coalesce(array_to_string(kc, ','), '') AS key_concepts FROM f LEFT JOIN cards ON card = cards.file_path""")
+def module_lookup(spark, d):
+    short = _t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey"), F.lit(".py")).alias("file_path"))
+    asked = short.unionByName(_t(spark, d, "nation").select(F.concat(F.lit("none"), F.col("n_nationkey"), F.lit(".py")).alias("file_path")))
+    return retrieval.module_info(asked, _cards(spark, d)).select("file_path", "layer", F.array_join("key_concepts", ",").alias("key_concepts"))
+
+
+@query(f"""WITH {_CARDS}, t AS (SELECT 'Economy' || n_nationkey AS term FROM nation) SELECT term, file_path FROM t JOIN (SELECT file_path, lower(unnest(list_distinct(kc))) AS low FROM cards) ON low = lower(term)""")
+def module_files_of_concept(spark, d):
+    terms = _t(spark, d, "nation").select(F.concat(F.lit("Economy"), F.col("n_nationkey")).alias("term"))
+    return retrieval.files_of_concepts(_cards(spark, d), terms)
+
+
+@query(f"""WITH {_RANKED}, tr AS (SELECT s_suppkey AS issue_id, 'lib/pkg' || (s_suppkey % 5) || '/s' || s_suppkey || '.py' AS file_path, 'f' || (s_suppkey % 40) AS fn FROM supplier),
+f5 AS (SELECT issue_id, file_path, function_name FROM (SELECT issue_id, file_path, function_name, round(sum(s), 4) AS score FROM hit SEMI JOIN rk USING (issue_id, file_path) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY issue_id, file_path ORDER BY score DESC, function_name) <= 5),
+h AS (SELECT tr.issue_id, min(rk.rank) AS rank FROM tr LEFT JOIN (f5 JOIN rk USING (issue_id, file_path)) x ON x.issue_id = tr.issue_id AND x.function_name = tr.fn AND ends_with(tr.file_path, '/' || x.file_path) LEFT JOIN rk ON rk.issue_id = x.issue_id AND rk.file_path = x.file_path GROUP BY 1) SELECT {_EVAL} FROM h""")
+def function_level_eval(spark, d):
+    k = F.col("s_suppkey")
+    truth = _t(spark, d, "supplier").select(k.alias("issue_id"), F.concat(F.lit("lib/pkg"), k % 5, F.lit("/s"), k, F.lit(".py")).alias("file_path"), F.concat(F.lit("f"), k % 40).alias("function"))
+    return evaluation.summary(evaluation.first_function_hits(_ranked(spark, d), truth))
+
+
 # --------------------------------------------------------------- routing, fusion
 
 _PHRASES = ["Solr reindex fails", "MARC record import api", "refactor lending instead of loan", "the banner template shows a table of contents", "run the migration script in docker", "POST /lists/add endpoint returns 404", "boolean clause in search query", "nothing of note", "ISBN edition merge for the catalog", "waiting list of a patron"]
@@ -692,6 +744,17 @@ def fusion_rrf(spark, d):
     return routing.reciprocal_rank_fusion(placed(g), placed(l))
 
 
+@query(f"""WITH {_RUNS}, {_CATEGORY}, a AS (SELECT issue_id, file_path, row_number() OVER (PARTITION BY issue_id ORDER BY round(score, 2) DESC, file_path) AS g FROM g), b AS (SELECT issue_id, file_path, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, file_path) AS l FROM l),
+m AS (SELECT issue_id, file_path, coalesce(l, 50) AS l, coalesce(g, 50) AS g, CASE category WHEN 'marc_catalog' THEN 0.75::DOUBLE WHEN 'domain_logic' THEN 0.30::DOUBLE ELSE 0.50::DOUBLE END AS al, CASE WHEN category = 'general' THEN 1.0::DOUBLE ELSE 1.10::DOUBLE END AS bo FROM a FULL JOIN b USING (issue_id, file_path) LEFT JOIN cat USING (issue_id)),
+s AS (SELECT issue_id, file_path, round((al / (60 + l) + (1 - al) / (60 + g)) * bo, 8) AS score FROM m)
+SELECT issue_id, file_path, score, (row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, file_path))::INT AS rank FROM s QUALIFY rank <= 10""")
+def fusion_rrf_by_category(spark, d):
+    g, l = _runs(spark, d)
+    placed = lambda df: ranking.ranked(df.withColumn("score", F.round("score", 2)), ["issue_id"], [F.desc("score"), "file_path"])
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("issue_id"), F.get(F.array(F.lit("marc_catalog"), F.lit("general"), F.lit("domain_logic")), (F.col("c_custkey") % 3).cast("int")).alias("category"))
+    return routing.reciprocal_rank_fusion(placed(g), placed(l), category=c)
+
+
 @query(f"""WITH {_RUNS}, a AS (SELECT issue_id, file_path, row_number() OVER (PARTITION BY issue_id ORDER BY round(score, 2) DESC, file_path) AS rank FROM g), b AS (SELECT issue_id, file_path, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, file_path) AS rank FROM l),
 tr AS (SELECT DISTINCT issue_id, 'core/f' || (issue_id % 40) AS file_path FROM g), ha AS (SELECT issue_id, least(coalesce(rank, 11), 11) AS r FROM tr LEFT JOIN a USING (issue_id, file_path)), hb AS (SELECT issue_id, least(coalesce(rank, 11), 11) AS r FROM tr LEFT JOIN b USING (issue_id, file_path))
 SELECT c_mktsegment AS type, count(*) AS n, sum((ha.r <= 10)::INT)::BIGINT AS hits_a, sum((hb.r <= 10)::INT)::BIGINT AS hits_b, sum((ha.r = 1)::INT)::BIGINT AS top1_a, sum((hb.r = 1)::INT)::BIGINT AS top1_b, sum((ha.r < hb.r)::INT)::BIGINT AS better_a, sum((hb.r < ha.r)::INT)::BIGINT AS better_b
@@ -739,11 +802,26 @@ def _diagnosis(spark, d):
     return models.diagnosed(terms, low(edges(spark, d), "src", "dst"), low(concept_file(spark, d), "concept"))
 
 
-@query()
+_TERMS = f"""{_EDGES}, {_CF}, tm AS (SELECT c_custkey AS issue_id, unnest(['s' || (c_custkey % 90), 'unknown' || (c_custkey % 5), 'S' || (c_custkey % 7)]) AS t FROM customer),
+lcf AS (SELECT DISTINCT lower(concept) AS concept, file FROM cf), ladj AS (SELECT DISTINCT lower(node) AS node, lower(nbr) AS nbr FROM adj), a AS (SELECT DISTINCT issue_id, lower(t) AS term FROM tm), known AS (SELECT * FROM a WHERE term IN (SELECT concept FROM lcf))"""
+
+
+@query(f"""WITH {_TERMS}, w AS (SELECT issue_id, concept, max(weight) AS weight FROM (SELECT issue_id, term AS concept, 1.0::DOUBLE AS weight FROM known UNION ALL SELECT issue_id, nbr, 0.5::DOUBLE FROM known JOIN ladj ON term = node) GROUP BY ALL),
+df AS (SELECT concept, count(*) AS df FROM lcf GROUP BY 1), n AS (SELECT count(DISTINCT file)::DOUBLE AS n FROM lcf), sc AS (SELECT issue_id, file, round(sum(weight * ln(1 + n / greatest(df, 1))), 4) AS score FROM w JOIN df USING (concept) JOIN lcf USING (concept), n GROUP BY ALL)
+SELECT issue_id, file, score, (row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, file))::INT AS rank FROM sc QUALIFY rank <= 10""")
 def oracle_files(spark, d):
     return _diagnosis(spark, d)["files"]
 
 
+@query(f"""WITH {_TERMS}, f AS (SELECT issue_id, nbr AS concept FROM known JOIN ladj ON term = node QUALIFY row_number() OVER (PARTITION BY issue_id, term ORDER BY nbr) <= 3),
+x AS (SELECT DISTINCT f.issue_id, f.concept FROM f ANTI JOIN known ON known.issue_id = f.issue_id AND known.term = f.concept) SELECT issue_id, concept FROM x QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY concept) <= 10""")
+def oracle_suggestions(spark, d):
+    k = F.col("c_custkey")
+    terms = _t(spark, d, "customer").select(k.alias("issue_id"), F.explode(F.array(F.concat(F.lit("s"), k % 90), F.concat(F.lit("unknown"), k % 5), F.concat(F.lit("S"), k % 7))).alias("term"))
+    low = lambda df, *c: df.select(*[F.lower(x).alias(x) if x in c else F.col(x) for x in df.columns])
+    return models.suggested(terms, low(edges(spark, d), "src", "dst"), low(concept_file(spark, d), "concept"))
+
+
 #: A small code base for the operators that read source code.
 SOURCES = [
     ("catalog/records.py", "import json\nfrom catalog import merge\n\nclass RecordReader(Base):\n    limit: int = 3\n\n    def read_subjects(self, marc_record, *fields):\n        self.subjects = marc_record.subjects\n        return [field for field in fields]\n"),
@@ -758,9 +836,25 @@ def _sources(spark):
     return spark.createDataFrame(SOURCES, "file_path string, text string")
 
 
-@query()
+def part_sources(spark, d):
+    """A source file for every part, of one form: a class with a method, an element assigned, an attribute, a call."""
+    a, b = (F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2))
+    lines = [
+        F.lit("import json as js"),
+        F.concat(F.lit("class "), F.initcap(a), F.lit("(Base):")),
+        F.concat(F.lit("    def read_"), b, F.lit("(self, arg_"), F.col("p_size"), F.lit("):")),
+        F.concat(F.lit("        "), b, F.lit("_map['k'] = js.loads(arg_"), F.col("p_size"), F.lit(")")),
+        F.concat(F.lit("        self."), a, F.lit("_size = "), F.col("p_size").cast("string")),
+        F.concat(F.lit("top_"), a, F.lit(" = 1")),
+    ]
+    return _t(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey") % 7, F.lit("/p"), F.col("p_partkey"), F.lit(".py")).alias("file_path"), F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("text"))
+
+
+@query("""WITH p AS (SELECT 'm' || (p_partkey % 7) || '/p' || p_partkey || '.py' AS file_path, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size AS s FROM part)
+SELECT file_path, unnest(['js', upper(a[1]) || a[2:], 'Base', 'read_' || b, 'self', 'arg_' || s, b || '_map', 'loads', a || '_size', a || '_size', 'top_' || a]) AS raw_identifier,
+unnest(['import', 'class_name', 'class_name', 'function_name', 'parameter', 'parameter', 'variable', 'attribute', 'variable', 'attribute', 'variable']) AS identifier_type, unnest([1, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6]) AS line_number FROM p""")
 def ast_extract(spark, d):
-    return extraction.occurrences(_sources(spark))
+    return extraction.occurrences(part_sources(spark, d)).select("file_path", "raw_identifier", "identifier_type", "line_number")
 
 
 @query()

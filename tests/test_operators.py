@@ -228,6 +228,24 @@ def test_command_line(spark, tmp_path):
     issues.write_text('[{"issue_id": 1, "title": "edition author record merge", "body": "", "changed_files": ["catalog/merge.py"]}]')
     assert main(["evaluate", out, str(issues)], spark).first().n == 1
     ranked = spark.createDataFrame([(1, "f.py", ["b"])], "issue_id int, file_path string, concepts array<string>")
-    reached = spark.createDataFrame([(1, "a", 1.0, 0, None, None), (1, "b", 0.9, 1, "a", "synonym")], "issue_id int, node string, weight double, hop int, via string, edge_type string")
+    from lexigraph.operators.graph import walk
+
+    edges = spark.createDataFrame([("a", "c", "synonym", 0.9, None), ("c", "b", "co-occurrence", 0.8, None)], "src string, dst string, type string, weight double, track string")
+    reached = walk(spark.createDataFrame([(1, "a", 1.0)], "issue_id int, node string, weight double"), edges, by=("issue_id",))
     seeds = spark.createDataFrame([(1, "a", 1.0)], "issue_id int, concept string, weight double")
-    assert explanations(ranked, reached, seeds).first().explanation == "seeds: a\nreached: a ~[syn]~> b"
+    assert explanations(ranked, reached, seeds).first().explanation == "seeds: a\nreached: a ~[syn]~> c ~[cooc]~> b"
+
+
+def test_elements_bind_what_holds_them():
+    from lexigraph.operators.extraction import identifiers
+
+    found = [(r[2], r[3]) for r in identifiers("a.py", "row['k'] = 1\nself.table[0][1] = 2\n(p[0], *q[1:]) = 3\nf()['x'] = 4\n")]
+    assert [n for n, kind in found if kind == "variable"] == ["row", "table", "p", "q"]
+
+
+def test_longest_definition_has_a_full_order(spark):
+    from lexigraph.operators.concepts import longest_definition
+
+    rows = [("n", "bb", 1), ("n", "aa", 1), ("n", "c", 0), ("m", "", 3), ("o", "x", 5), ("o", "y", 4)]
+    occ = spark.createDataFrame(rows, "split_name string, definition string, ordinal int")
+    assert {tuple(r) for r in longest_definition(occ).collect()} == {("n", "aa"), ("o", "y")}
