@@ -260,13 +260,15 @@ def _centres(threshold):
     return run
 
 
-def _dealt(placed: DataFrame, part: int) -> DataFrame:
+def _dealt(placed: DataFrame, part: int, scratch: Scratch) -> DataFrame:
     """Entries ``(tok, i, j, block, meta, cls, component)`` of the lists that hold several components, once for each pair of blocks in which they have a partner to meet."""
     shares = placed.groupBy("tok", "component").agg(F.count("*").alias("k"))
     lists = shares.groupBy("tok").agg(F.sum("k").alias("n"), F.count("*").alias("components"), F.max(F.struct("k", "component")).alias("main")).where("components > 1")
     of = lambda n: F.ceil(n / part).cast("int")
-    lists = lists.select("tok", F.col("main.component").alias("main"), (F.col("n") <= part).alias("whole"), of(F.col("main.k")).alias("mains"), of(F.col("n") - F.col("main.k")).alias("others"))
-    rows = placed.join(lists, "tok").withColumn("own", F.xxhash64("cls")).withColumn("in_main", F.col("component") == F.col("main"))
+    lists = lists.select("tok", "n", F.col("main.component").alias("main"), (F.col("n") <= part).alias("whole"), of(F.col("main.k")).alias("mains"), of(F.col("n") - F.col("main.k")).alias("others"))
+    lists = scratch.save(lists, "lists")
+    rows = spread_join(placed, lists.drop("n"), "tok", counts=lists.select("tok", F.col("n").alias("_n"))).where("main is not null")
+    rows = rows.withColumn("own", F.xxhash64("cls")).withColumn("in_main", F.col("component") == F.col("main"))
     block = F.when(F.col("whole"), F.lit(0)).when(F.col("in_main"), F.pmod("own", "mains").cast("int")).otherwise(F.col("mains") + F.pmod("own", "others").cast("int"))
     rows = rows.withColumn("block", block)
     among_others = F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)
@@ -472,7 +474,7 @@ def _labelled(docs: DataFrame, scratch: Scratch, threshold, digest_bits: int = 6
 
     placed = entries.join(first.withColumnRenamed("node", "cls"), "cls", "left")
     placed = scratch.save(placed.select("tok", "meta", "cls", F.coalesce("component", "cls").alias("component")), "placed")
-    dealt = _dealt(placed, part).repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "block", "meta", "cls")
+    dealt = _dealt(placed, part, scratch).repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "block", "meta", "cls")
     crossing = dealt.mapInArrow(_crossings(threshold), "a bigint, b bigint, na bigint, nb bigint").distinct()
     crossing = scratch.save(crossing.join(bounds, ["a", "b"], "left_anti"), "crossing")
     scratch.drop("met", "placed")
