@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     """
     contract = _contracted(chunk)
     as_edges = lambda df: df.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").mapInArrow(contract, "a bigint, b bigint")
-    now, k = scratch.save(as_edges(edges), f"{name}-0"), 0
+    now, k = scratch.save(as_edges(edges), f"{name}-0", small=True), 0
     while True:
         placed = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")))
         placed = placed.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("other"))
@@ -75,5 +75,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = scratch.save(as_edges(small), f"{name}-{k}")
+        now = scratch.save(as_edges(small), f"{name}-{k}", small=True)
         scratch.drop(f"{name}-{k - 1}")

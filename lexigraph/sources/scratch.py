@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Tasks that write a table, for each core.
+#: Tasks that write a small table, for each core.
 TASKS = 8
 _MADE: list[Scratch] = []
 
@@ -50,9 +50,7 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage.
 
     A lost executor costs only the tasks of the current step: what earlier
-    steps wrote is read again from the shared folder. A table is written by at most
-    :data:`TASKS` tasks a core, so that many small partitions don't become as many
-    small files.
+    steps wrote is read again from the shared folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -60,8 +58,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _MADE.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.coalesce(TASKS * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """``df``, written and read again. What is ``small`` beside the input is written by at most
+        :data:`TASKS` tasks a core, so that many small partitions don't become as many small files.
+        """
+        if small:
+            df = df.coalesce(TASKS * self.spark.sparkContext.defaultParallelism)
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         del df
         self.release()
         return self.spark.read.parquet(f"{self.root}/{name}")
@@ -81,8 +84,8 @@ class Scratch:
             files.delete(path, True)
 
     def last(self, df: DataFrame, name: str = "result") -> DataFrame:
-        """``df``, saved, as the only table that stays."""
-        out = self.save(df, name)
+        """``df``, small beside the input, saved as the only table that stays."""
+        out = self.save(df, name, small=True)
         path, files = self._path()
         self.drop(*[n for n in (s.getPath().getName() for s in files.listStatus(path)) if n != name])
         return out
