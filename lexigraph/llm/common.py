@@ -129,7 +129,7 @@ def summed(parts: DataFrame, width: int, scratch: Scratch, name: str) -> np.ndar
     tasks = now.rdd.getNumPartitions()  # of a plain scan
     while tasks > 1:
         tasks, level = -(-tasks // FAN_IN), level + 1
-        now = scratch.save(now.coalesce(tasks).mapInArrow(add, "slice int, item int, counts binary"), f"{name}-{level}")
+        now = scratch.save(now.coalesce(tasks).mapInArrow(add, "slice int, item int, counts binary"), f"{name}-{level}", small=True)
         scratch.drop(f"{name}-{level - 1}")
     out = np.zeros(width, np.int64)
     for row in now.toLocalIterator():

@@ -266,7 +266,7 @@ def _dealt(placed: DataFrame, part: int, scratch: Scratch) -> DataFrame:
     lists = shares.groupBy("tok").agg(F.sum("k").alias("n"), F.count("*").alias("components"), F.max(F.struct("k", "component")).alias("main")).where("components > 1")
     of = lambda n: F.ceil(n / part).cast("int")
     lists = lists.select("tok", "n", F.col("main.component").alias("main"), (F.col("n") <= part).alias("whole"), of(F.col("main.k")).alias("mains"), of(F.col("n") - F.col("main.k")).alias("others"))
-    lists = scratch.save(lists, "lists")
+    lists = scratch.save(lists, "lists", small=True)
     rows = spread_join(placed, lists.drop("n"), "tok", counts=lists.select("tok", F.col("n").alias("_n"))).where("main is not null")
     rows = rows.withColumn("own", F.xxhash64("cls")).withColumn("in_main", F.col("component") == F.col("main"))
     block = F.when(F.col("whole"), F.lit(0)).when(F.col("in_main"), F.pmod("own", "mains").cast("int")).otherwise(F.col("mains") + F.pmod("own", "others").cast("int"))
@@ -454,7 +454,7 @@ def _labelled(docs: DataFrame, scratch: Scratch, threshold, digest_bits: int = 6
     identity = Identity(digest_bits, shared)
     if shared:
         rows = rows.withColumn("cls", F.when(F.col("cls").isin(*shared), F.col("other")).otherwise(F.col("cls")))
-    classes = scratch.save(rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.save(rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")), "classes", small=True)
 
     met_schema = "tok bigint, part bigint, a bigint, b bigint"
     lists = _prefixes(docs, sketch, threshold, identity, longest).repartition("tok", "part").sortWithinPartitions("tok", "part", "meta", "cls")
@@ -465,38 +465,38 @@ def _labelled(docs: DataFrame, scratch: Scratch, threshold, digest_bits: int = 6
         tops = met.where("tok is not null and part = 1").select("tok", F.lit(0).cast("bigint").alias("part"), F.col("b").alias("meta"), F.col("a").alias("cls"))
         tops = tops.repartition("tok").sortWithinPartitions("tok", "part", "meta", "cls").mapInArrow(_centres(threshold), met_schema)
         met_pairs = met_pairs.unionByName(tops.where("tok is null").select("a", "b"))
-    bounds = scratch.save(_bounded(met_pairs.distinct(), classes, threshold), "bounds")
+    bounds = scratch.save(_bounded(met_pairs.distinct(), classes, threshold), "bounds", small=True)
     sets = _verify_sets(docs, bounds.where("open"), classes, scratch, "sets-1", identity)
-    exact = scratch.save(_links(bounds.where("open"), sets, threshold), "exact")
+    exact = scratch.save(_links(bounds.where("open"), sets, threshold), "exact", small=True)
     scratch.drop("sets-1")
     links = exact.where("linked")
-    first = scratch.save(connected_components(links, scratch, "first"), "first")
+    first = scratch.save(connected_components(links, scratch, "first"), "first", small=True)
 
     placed = entries.join(first.withColumnRenamed("node", "cls"), "cls", "left")
     placed = scratch.save(placed.select("tok", "meta", "cls", F.coalesce("component", "cls").alias("component")), "placed")
     dealt = _dealt(placed, part, scratch).repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "block", "meta", "cls")
     crossing = dealt.mapInArrow(_crossings(threshold), "a bigint, b bigint, na bigint, nb bigint").distinct()
-    crossing = scratch.save(crossing.join(bounds, ["a", "b"], "left_anti"), "crossing")
+    crossing = scratch.save(crossing.join(bounds, ["a", "b"], "left_anti"), "crossing", small=True)
     scratch.drop("met", "placed")
     found = first
     if not crossing.isEmpty():
         known = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("both", "most").alias("most"))
         doubtful = _underived(crossing, links, known, classes, threshold)
-        doubtful = scratch.save(_bounded(doubtful, classes, threshold).where("open"), "doubtful")
+        doubtful = scratch.save(_bounded(doubtful, classes, threshold).where("open"), "doubtful", small=True)
         if not doubtful.isEmpty():
             sets = _verify_sets(docs, doubtful, classes, scratch, "sets-2", identity)
-            more = scratch.save(_links(doubtful, sets, threshold).where("linked"), "more")
+            more = scratch.save(_links(doubtful, sets, threshold).where("linked"), "more", small=True)
             scratch.drop("sets-2")
             if not more.isEmpty():
                 edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
-                found = scratch.save(connected_components(edges, scratch, "second"), "found")
+                found = scratch.save(connected_components(edges, scratch, "second"), "found", small=True)
 
     reps = classes.select("cls", "rep")
     named = found.withColumnsRenamed({"node": "cls", "component": "root"}).join(reps, "cls")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     labels = spread_join(named, least, "root").select("cls", "root", "least")
     labels = reps.join(labels, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("label"))
-    labels = scratch.save(labels, "labels")
+    labels = scratch.save(labels, "labels", small=True)
     return spread_join(rows.select("doc_id", "n", "cls"), labels, "cls"), identity
 
 

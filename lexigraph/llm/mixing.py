@@ -45,7 +45,7 @@ FAN_IN = 128
 def _in_order(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """``sources`` with ``place``, their number from 0 by code point, null last; no task sees more than a range of them."""
     placed = sources.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id())
-    placed = scratch.save(placed, "sources").withColumn("range", F.shiftright("id", 33))
+    placed = scratch.save(placed, "sources", small=True).withColumn("range", F.shiftright("id", 33))
     # one row a range of the sort, so as many as shuffle partitions at most
     ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     before = placed.groupBy("range").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
@@ -63,7 +63,7 @@ def targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
     are whole numbers, so every run finds the same level.
     """
     turn = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    ranked = scratch.save(_in_order(sources, scratch).withColumn("weight", turn), "ranked")
+    ranked = scratch.save(_in_order(sources, scratch).withColumn("weight", turn), "ranked", small=True)
     total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
     while True:
@@ -135,7 +135,7 @@ def _numbered(sized: DataFrame, scratch: Scratch) -> DataFrame:
     """
     alike = ["doc_id", "source", "size"]
     again = sized.groupBy(*alike).agg(F.count("*").alias("times")).where("times > 1").select(*[F.col(c).alias(f"again_{c}") for c in alike])
-    again = scratch.save(again, "again")
+    again = scratch.save(again, "again", small=True)
     if again.isEmpty():
         return sized.withColumn("nth", F.lit(0).cast("bigint"))
     is_again = [F.col(c).eqNullSafe(F.col(f"again_{c}")) for c in alike]
@@ -151,7 +151,7 @@ def _numbered(sized: DataFrame, scratch: Scratch) -> DataFrame:
 
 def mix(sized: DataFrame, scratch: Scratch, seed: int = 1, fan_in: int = FAN_IN, **weights) -> DataFrame:
     """``(row, doc_id, source, size, source_size, target, copies)`` for every row of the saved ``(row, doc_id, source, size)``; ``row`` is a monotonically increasing id."""
-    sizes = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sizes")
+    sizes = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sizes", small=True)
     goal = targets(sizes.select("source", "source_size"), scratch, **weights).withColumnRenamed("source", "s")
     count = sizes.select(F.col("source").alias("c"), "source_rows")
     goal = goal.join(count, F.col("s").eqNullSafe(F.col("c"))).drop("c")
@@ -171,7 +171,7 @@ def mix(sized: DataFrame, scratch: Scratch, seed: int = 1, fan_in: int = FAN_IN,
     now, level = now.where("g > 0"), 1
     while True:
         dealt = now.groupBy("s", "g").agg(F.sort_array(F.collect_list("d")).alias("ds"), F.first("n").alias("n"))
-        folded = scratch.save(dealt.select("s", "n", _round(F.col("ds"), seed + level).alias("r")), f"mix-{level}")
+        folded = scratch.save(dealt.select("s", "n", _round(F.col("ds"), seed + level).alias("r")), f"mix-{level}", small=True)
         done.append(_documents(folded, "r.done", kept))
         level += 1
         widest = folded.agg(F.max(_groups(level, fan_in))).first()[0]
@@ -179,7 +179,7 @@ def mix(sized: DataFrame, scratch: Scratch, seed: int = 1, fan_in: int = FAN_IN,
         if widest is None or widest <= 1:
             break
     ending = now.select("d", "s").unionByName(waiting).groupBy("s").agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    folded = scratch.save(ending.select(_round(F.col("ds"), seed).alias("r")), "mix-end")
+    folded = scratch.save(ending.select(_round(F.col("ds"), seed).alias("r")), "mix-end", small=True)
     done.append(_documents(folded, "r.done", kept))
     now = folded.select(F.col("r.open").alias("d"))
     last = now.select(*[f"d.{c}" for c in kept]).withColumn("p", (_uniform("tag", F.lit(seed)) < F.col("p")).cast("double"))
