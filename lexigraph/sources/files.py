@@ -54,6 +54,13 @@ def json_if_there(spark: SparkSession, path: str, schema: StructType | str) -> D
     return optional(lambda: json_table(spark, path, schema), spark, schema)
 
 
+def cards_if_there(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_path, layer, responsibility, key_concepts)`` of a JSON file ``{"cards": [...]}``; no rows where there is none. A card without a layer is of ``utility``."""
+    card = "file_path string, layer string, responsibility string, key_concepts array<string>"
+    rows = json_if_there(spark, path, f"cards array<struct<{card.replace(' ', ': ').replace(',: ', ', ')}>>").select(F.inline("cards"))
+    return rows.where("file_path is not null").select("file_path", F.coalesce("layer", F.lit("utility")).alias("layer"), F.coalesce("responsibility", F.lit("")).alias("responsibility"), F.coalesce("key_concepts", F.array().cast("array<string>")).alias("key_concepts"))
+
+
 def instances(spark: SparkSession, path: str, repository: str | None = None) -> DataFrame:
     """Recorded benchmark instances, Parquet or JSON lines, of one repository."""
     rows = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path)
