@@ -126,6 +126,15 @@ def embedded_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def listed_paths(text: Column) -> Column:
+    """Texts of the first JSON array of a text, or else the quoted source paths in it."""
+    bare = F.trim(F.regexp_replace(text, r"```[a-z]*", ""))
+    whole = F.when(F.startswith(bare, F.lit("[")) & F.endswith(bare, F.lit("]")), F.from_json(bare, "array<string>"))
+    part = F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)\[.*?\]", 0), F.lit("")), "array<string>")
+    found = F.regexp_extract_all(bare, F.lit(r'"([\w.-]+(?:/[\w.-]+)*\.py)"'), F.lit(1))
+    return F.array_compact(F.coalesce(whole, part, found, F.array().cast("array<string>")))
+
+
 def cache_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 

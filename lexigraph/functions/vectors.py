@@ -35,13 +35,32 @@ def hashed_embedding(tokens: Column, width: int = 64) -> Column:
     return F.transform(raw, lambda x: F.when(size > 0, x / size).otherwise(0.0))
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "id", vector: str = "emb", block: int = 4096, by: str | None = None, euclidean: bool = False) -> DataFrame:
+def _best(i: np.ndarray, j: np.ndarray, v: np.ndarray, k: int):
+    """The ``k`` pairs of largest value of every ``i``, smaller ``j`` first on ties."""
+    order = np.lexsort((j, -v, i))
+    i, j, v = i[order], j[order], v[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], v[keep]
+
+
+def _unit(table: pa.Table) -> np.ndarray:
+    x = np.array(table["emb"].to_pylist(), np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _six(value: np.ndarray) -> np.ndarray:
+    return np.floor(value * 1e6 + 0.5) / 1e6
+
+
+def similar_pairs(vectors: DataFrame, least: float, key: str = "id", vector: str = "emb", block: int = 4096, by: str | None = None, euclidean: bool = False, k: int | None = None) -> DataFrame:
     """``(i, j, sim)`` with i < j and cosine at least ``least``; with ``euclidean``, ``(i, j, dist)`` at most ``least``.
 
     Rows are dealt to blocks, and each pair of blocks is one matrix product in
     one task: every pair is compared once, no pair below the bound becomes a
     row, and a task holds two blocks whatever the table's size. ``by`` restricts
-    pairs to equal values of a column.
+    pairs to equal values of a column. With ``k`` cosines are rounded to six
+    digits before they meet the bound, and a task gives no more than the ``k``
+    best of every ``i``, so that what leaves it doesn't grow with the pairs.
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("emb"), (F.col(by) if by else F.lit(0)).cast("string").alias("part")).where("id is not null and emb is not null")
     blocks = max(1, math.ceil(rows.count() / block))
@@ -52,9 +71,7 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "id", vector: str
     def compare(group, table):
         low, high = group[1].as_py(), group[2].as_py()
         ids, home = table["id"].to_numpy(), table["home"].to_numpy()
-        x = np.array(table["emb"].to_pylist(), np.float64)
-        if not euclidean:
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        x = np.array(table["emb"].to_pylist(), np.float64) if euclidean else _unit(table)
         left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
         found = []
         step = 16 if euclidean else 512
@@ -65,12 +82,47 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "id", vector: str
                 hit = value <= least
             else:
                 value = x[some] @ x[right].T
+                value = _six(value) if k else value
                 hit = value >= least
             a, b = np.nonzero(hit)
             v, a, b = value[a, b], ids[some[a]], ids[right[b]]
             keep = a < b if low == high else np.ones(len(a), bool)
-            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], v[keep]))
+            pairs = np.minimum(a, b)[keep], np.maximum(a, b)[keep], v[keep]
+            found.append(_best(*pairs, k) if k else pairs)
         i, j, v = (np.concatenate(z) if found else np.empty(0) for z in (list(zip(*found, strict=True)) or [[], [], []]))
+        if k:
+            i, j, v = _best(i, j, v, k)
         return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), name: pa.array(v, pa.float64())})
 
     return rows.groupBy("part", "low", "high").applyInArrow(compare, f"i bigint, j bigint, {name} double")
+
+
+def similar_across(left: DataFrame, right: DataFrame, least: float, k: int, key: str = "issue_id", name: str = "concept", vector: str = "emb", block: int = 4096) -> DataFrame:
+    """``(key, name, sim)``: of every left row the right rows of cosine ``least`` or more, rounded to six digits.
+
+    Both sides are dealt to blocks and a task multiplies one block of each. It
+    gives the ``k`` best of a left row, smaller names first on ties, so the whole
+    has at most ``k`` times the right blocks for each left row; rank them to end.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((left, key), (right, name))}
+    left = left.select(F.col(key).alias("l"), F.lit(None).cast(kinds[name]).alias("r"), F.col(vector).cast("array<double>").alias("emb")).where("l is not null and emb is not null")
+    right = right.select(F.lit(None).cast(kinds[key]).alias("l"), F.col(name).alias("r"), F.col(vector).cast("array<double>").alias("emb")).where("r is not null and emb is not null")
+    many = {side: max(1, math.ceil(df.count() / block)) for side, df in (("l", left), ("r", right))}
+    dealt = lambda df, c, own, other: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(many[c])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many["r" if c == "l" else "l"] - 1))))
+    rows = dealt(left, "l", "lb", "rb").unionByName(dealt(right, "r", "rb", "lb"))
+
+    def compare(table):
+        table = table.sort_by([("l", "ascending"), ("r", "ascending")])
+        missing = table["l"].is_null().to_numpy(zero_copy_only=False) if table.num_rows else np.empty(0, bool)
+        a, b = np.flatnonzero(~missing), np.flatnonzero(missing)
+        found = []
+        if len(a) and len(b):
+            x = _unit(table)
+            for at in range(0, len(a), 512):
+                value = _six(x[a[at : at + 512]] @ x[b].T)
+                i, j = np.nonzero(value >= least)
+                found.append(_best(a[at + i], b[j], value[i, j], k))
+        i, j, v = (np.concatenate(z) for z in (list(zip(*found, strict=True)) or [[np.empty(0, np.int64)]] * 2 + [[np.empty(0)]]))
+        return pa.table({key: table["l"].take(pa.array(i)), name: table["r"].take(pa.array(j)), "sim": pa.array(v, pa.float64())})
+
+    return rows.groupBy("lb", "rb").applyInArrow(compare, f"`{key}` {kinds[key]}, `{name}` {kinds[name]}, sim double")

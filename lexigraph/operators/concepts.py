@@ -42,13 +42,14 @@ def soft_index(raw: DataFrame, blocked=None, min_length: int = 2) -> DataFrame:
     return out.select("token", "file_path").distinct()
 
 
-def over_covered(occurrences: DataFrame, files: int | None = None, ratio: float = 0.5) -> DataFrame:
-    """Names in more than ``ratio`` of the files."""
-    total = occurrences.select("file_path").distinct().count() if files is None else files
-    return occurrences.groupBy("split_name").agg(F.countDistinct("file_path").alias("files")).where(F.col("files") > ratio * total)
+def over_covered(occurrences: DataFrame, within: DataFrame | None = None, ratio: float = 0.5) -> DataFrame:
+    """Names in more than ``ratio`` of the files, which are those of ``within`` where given."""
+    total = (occurrences if within is None else within).agg(F.countDistinct("file_path").alias("total"))
+    seen = occurrences.groupBy("split_name").agg(F.countDistinct("file_path").alias("files"))
+    return seen.crossJoin(F.broadcast(total)).where(F.col("files") > ratio * F.col("total")).drop("total")  # total: one row
 
 
-def covered(occurrences: DataFrame, files: int | None = None, ratio: float = 0.5) -> DataFrame:
+def covered(occurrences: DataFrame, files: DataFrame | None = None, ratio: float = 0.5) -> DataFrame:
     """Occurrences without those of names that are everywhere."""
     return occurrences.join(over_covered(occurrences, files, ratio).select("split_name"), "split_name", "left_anti")
 
@@ -78,6 +79,16 @@ def concept_text(concepts: DataFrame, definitions: DataFrame, raws: int = 3) ->
     return rows.select("canonical_name", F.concat_ws(" | ", "canonical_name", F.nullif("definition", F.lit("")), F.array_join(F.slice("all_raw_identifiers", 1, raws), ", ")).alias("text"))
 
 
+def seed_text(concepts: DataFrame, raws: int = 5) -> DataFrame:
+    """``(concept, text)`` that issues are compared with: name, longest sense's definition or else the longest of all, terms, some identifiers."""
+    said = F.nullif("definition", F.lit("")) if "definition" in concepts.columns else F.lit(None).cast("string")
+    if "definition_clusters" in concepts.columns:
+        senses = F.transform("definition_clusters", lambda s: F.struct((-F.length(s["canonical_definition"])).alias("n"), s["cluster"].alias("cluster"), s["canonical_definition"].alias("said")))
+        said = F.coalesce(F.nullif(F.array_min(senses)["said"], F.lit("")), said)
+    listed = lambda names: F.nullif(F.array_join(names, ", "), F.lit(""))
+    return concepts.select(F.col("canonical_name").alias("concept"), F.concat_ws(" | ", "canonical_name", said, listed(F.col("split_terms")), listed(F.slice("all_raw_identifiers", 1, raws))).alias("text"))
+
+
 def document_frequency(occurrences: DataFrame) -> DataFrame:
     """``(concept, df)``: files that hold a concept."""
     return occurrences.groupBy(F.col("split_name").alias("concept")).agg(F.countDistinct("file_path").alias("df"))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 
-def first_hits(predictions: DataFrame, truth: DataFrame, key: str = "issue_id", item: str = "file_path", suffix: bool = False) -> DataFrame:
+
+def first_hits(predictions: DataFrame, truth: DataFrame, key: str = "issue_id", item: str = "file_path", suffix: bool = False, roots: tuple[str, ...] = ()) -> DataFrame:
     """``(key, rank)`` of the first prediction that is right, null if none, for every key of ``truth``.
 
     With ``suffix`` a path also matches one that it ends with, or that ends with
     it; such pairs share their last segment, which is what they are joined on.
+    Paths on both sides lose what stands up to one of ``roots`` before they meet.
     """
+    if roots:
+        predictions, truth = (df.withColumn(item, T.normal_path(F.col(item), list(roots))) for df in (predictions, truth))
     told, right = predictions.select(key, F.col(item).alias("p"), "rank"), truth.select(key, F.col(item).alias("t"))
     if suffix:
         last = lambda c: F.element_at(F.split(c, "/"), -1)

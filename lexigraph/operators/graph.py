@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .ranking import top
 
 
@@ -43,6 +44,19 @@ def concepts_in_file(concept_file: DataFrame, path: str) -> DataFrame:
     return concept_file.join(F.broadcast(best), "file", "left_semi").select("file", "concept").distinct()  # best: one row
 
 
+def exists(names: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``(name, known)``: whether there is a concept of that name."""
+    known = concepts.select(F.col("canonical_name").alias("name")).distinct().withColumn("known", F.lit(True))
+    return names.select("name").distinct().join(known, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def idf_of(names: DataFrame, concept_file: DataFrame, unknown: float = 1.0) -> DataFrame:
+    """``(name, idf)`` by the files that hold a concept; ``unknown`` for names in none."""
+    total = concept_file.agg(F.countDistinct("file").alias("total"))
+    df = concept_file.groupBy(F.col("concept").alias("name")).agg(F.countDistinct("file").alias("df")).crossJoin(F.broadcast(total))  # total: one row
+    return names.select("name").distinct().join(df, "name", "left").select("name", F.coalesce(T.idf(F.col("total"), F.col("df")), F.lit(unknown)).alias("idf"))
+
+
 def bfs(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: float = 0.5, least: float = 0.01, by: tuple[str, ...] = ()) -> DataFrame:
     """``(by..., node, weight)``: the largest seed weight times decay to the number of hops; ``seeds(by..., node, weight)``."""
     near = undirected(edges)
@@ -94,6 +108,21 @@ def shortest_path(edges: DataFrame, source: str, target: str, hops: int = 4) ->
     return best.select(F.lit(source).alias("source"), F.lit(target).alias("target"), "hops", "path")
 
 
+def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
+    """``(source, target, hops, path)`` of all pairs ``(source, target)`` at once, as :func:`shortest_path` finds each; pairs too far apart are left out.
+
+    Every hop keeps one path per source and node, and nodes reached before don't go on.
+    """
+    near, asked = undirected(edges), pairs.select("source", "target").distinct()
+    front = asked.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
+    seen = front.select("source", "node", F.lit(0).alias("hops"), "path")
+    for h in range(1, hops + 1):
+        grown = front.join(near, "node").select("source", F.col("nbr").alias("node"), F.concat("path", F.array("nbr")).alias("path"))
+        front = grown.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        seen = seen.unionByName(front.select("source", "node", F.lit(h).alias("hops"), "path"))
+    return asked.join(seen.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops", "path")
+
+
 def explained(path: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps of paths: ``(source, target, step, src, dst, type, weight)`` by the strongest edge of each step."""
     steps = path.select("source", "target", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("u"), F.slice("path", F.lit(2), F.size("path") - 1).alias("v"))).alias("step", "e"))
@@ -107,7 +136,8 @@ def impact(files: DataFrame, edges: DataFrame, concept_file: DataFrame, radius:
 
     A changed file's concepts spread ``radius`` hops; a file holding any of what
     is reached is affected, directly if it shares one of the file's own concepts.
-    ``shared`` counts the concepts it holds of those reached.
+    ``shared`` counts the concepts it holds of those reached. A file affected only
+    indirectly is left out if its path holds the changed one, or is held by it.
     """
     local = files.select("changed").join(concept_file, F.col("changed") == F.col("file")).select("changed", F.col("concept").alias("node"), F.lit(0).alias("d")).distinct()
     near, reach, front = undirected(edges), local, local
@@ -116,7 +146,8 @@ def impact(files: DataFrame, edges: DataFrame, concept_file: DataFrame, radius:
         reach = reach.unionByName(front)
     reach = reach.groupBy("changed", "node").agg(F.min("d").alias("d"))
     held = reach.join(concept_file.withColumnRenamed("concept", "node"), "node").where("file <> changed")
-    return held.groupBy("changed", "file").agg(F.bool_or(F.col("d") == 0).alias("direct"), F.countDistinct("node").alias("shared"))
+    hit = held.groupBy("changed", "file").agg(F.bool_or(F.col("d") == 0).alias("direct"), F.countDistinct("node").alias("shared"))
+    return hit.where(F.col("direct") | ~(F.contains("file", F.col("changed")) | F.contains(F.col("changed"), F.col("file"))))
 
 
 def impact_report(files: DataFrame, edges: DataFrame, concept_file: DataFrame, radius: int = 1, most: int = 20) -> DataFrame:
@@ -128,7 +159,10 @@ def impact_report(files: DataFrame, edges: DataFrame, concept_file: DataFrame, r
 
 def concept_cards(concepts: DataFrame, edges: DataFrame, concept_file: DataFrame, files: int, most: int = 15) -> DataFrame:
     """Per concept its definition, frequency, files, neighbours and idf."""
-    held = concept_file.distinct().groupBy("concept").agg(F.count("*").alias("file_count"), F.slice(F.array_sort(F.collect_list("file")), 1, most).alias("files"))
+    held = concept_file.distinct()
+    # a hub's files are cut to the first before any are gathered
+    first = top(held, ["concept"], ["file"], most, "r").groupBy("concept").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    held = held.groupBy("concept").agg(F.count("*").alias("file_count")).join(first, "concept")
     near = undirected(edges).join(concepts.select(F.col("canonical_name").alias("nbr"), F.substring("definition", 1, 80).alias("nbr_definition")), "nbr", "left")
     near = near.groupBy(F.col("node").alias("concept")).agg(F.array_sort(F.collect_list(F.struct("nbr", "nbr_definition"))).alias("neighbours"))
     out = concepts.withColumnRenamed("canonical_name", "concept").join(held, "concept", "left").join(near, "concept", "left")
@@ -154,8 +188,8 @@ def walk(seeds: DataFrame, edges: DataFrame, concept_file: DataFrame | None = No
     near = undirected(edges, distinct=False).select("node", "nbr", "type", gain.alias("gain"))
     near = near.groupBy("node", "nbr").agg(F.max("gain").alias("gain"), F.max_by("type", F.struct("gain", "type")).alias("type"))
     if concept_file is not None:
-        total = concept_file.agg(F.countDistinct("file")).first()[0]
-        common = concept_file.groupBy("concept").agg(F.countDistinct("file").alias("n")).where(F.col("n") > ratio * total).select("concept")
+        total = concept_file.agg(F.countDistinct("file").alias("total"))
+        common = concept_file.groupBy("concept").agg(F.countDistinct("file").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > ratio * F.col("total")).select("concept")  # total: one row
         near = near.join(common.withColumnRenamed("concept", "node"), "node", "left_anti").join(common.withColumnRenamed("concept", "nbr"), "nbr", "left_anti")
     keys = [*by, "node"]
     start = seeds.groupBy(*keys).agg(F.max("weight").alias("weight"))

@@ -9,6 +9,26 @@ from pyspark.sql.window import Window as W
 from .graph import undirected
 
 
+def totals(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: concepts, edges, occurrences, and concepts of several senses."""
+    senses = F.size("definition_clusters") if "definition_clusters" in concepts.columns else F.lit(0)
+    mine = concepts.agg(F.count("*").alias("total_concepts"), F.coalesce(F.sum("frequency"), F.lit(0)).alias("total_occurrences"), F.count(F.when(senses > 1, 1)).alias("polysemous_concepts"))
+    return mine.crossJoin(edges.agg(F.count("*").alias("total_relationships")))  # one row each
+
+
+def top_concepts(concepts: DataFrame, concept_file: DataFrame, k: int = 30, raws: int = 5) -> DataFrame:
+    """The most frequent concepts with their number of files and first identifiers."""
+    first = most_frequent(concepts, k).select("canonical_name", "frequency", F.slice("all_raw_identifiers", 1, raws).alias("raw_identifiers"))
+    files = concept_file.groupBy(F.col("concept").alias("canonical_name")).agg(F.countDistinct("file").alias("num_files"))
+    return first.join(files, "canonical_name", "left").withColumn("num_files", F.coalesce("num_files", F.lit(0)))
+
+
+def most_senses(concepts: DataFrame, k: int = 15, cut: int = 100) -> DataFrame:
+    """Concepts of several senses, those of most first, with the senses' definitions."""
+    rows = concepts.select("canonical_name", F.size("definition_clusters").alias("num_meanings"), F.transform("definition_clusters", lambda s: F.substring(s["canonical_definition"], 1, cut)).alias("meanings"))
+    return rows.where("num_meanings > 1").orderBy(F.desc("num_meanings"), "canonical_name").limit(k)
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("avg_weight"))
 
@@ -79,3 +99,14 @@ def markdown(rows: DataFrame, title: str, k: int = 30) -> str:
     shown, names = rows.limit(k).collect(), rows.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join(lines + ["| " + " | ".join(str(v)[:60] for v in r) + " |" for r in shown]) + "\n"
+
+
+def navigation(summary: DataFrame, issues: DataFrame, title: str = "Navigation report", k: int = 30) -> str:
+    """A report of an evaluation: its one-row ``summary``, then the first ``k`` issues of :func:`lexigraph.sources.sinks.issue_dump`."""
+    row, total = summary.first().asDict(), issues.count()
+    shown = issues.orderBy(issues.columns[0]).limit(k).collect()
+    listed = lambda paths: (", ".join((paths or [])[:3]) or "(none)")[:60]
+    lines = [f"# {title}", "", "## Summary", "", "| Metric | Value |", "|---|---|", *(f"| {name} | {value} |" for name, value in row.items())]
+    lines += ["", "## Issues", "", "| # | Issue | Right files | Predicted files | Rank |", "|---|---|---|---|---|"]
+    lines += [f"| {n} | {r[0]} | {listed(r['gt_files'])} | {listed(r['predicted_files'])} | {r['file_rank'] or '-'} |" for n, r in enumerate(shown, 1)]
+    return "\n".join(lines + ([f"| ... | | | ({total} in all) | |"] if total > len(shown) else [])) + "\n"

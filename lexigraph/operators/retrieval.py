@@ -71,13 +71,15 @@ def file_scores(weights: DataFrame, occurrences: DataFrame, files: int, k: int =
     counted = occ.groupBy("concept", "file_path", "function_name").agg(F.count("*").alias("times"))
     df = counted.groupBy("concept").agg(F.countDistinct("file_path").alias("df"))
     held = counted.groupBy("file_path").agg(F.countDistinct("concept").alias("total"))
-    if locked is None:
-        hits = weights.select(key, "concept", "weight").join(counted, "concept").join(df, "concept").withColumn("weight", F.col("weight") * F.col("times"))
-    else:
-        hits = weights.select(key, "concept", "weight").join(occ, "concept").join(df, "concept")
-        senses = locked.select(key, "concept").distinct().withColumn("is_locked", F.lit(True))
-        allowed = locked.select(key, "concept", "occurrence_id").withColumn("allowed", F.lit(True))
-        hits = hits.join(senses, [key, "concept"], "left").join(allowed, [key, "concept", "occurrence_id"], "left").where("is_locked is null or allowed")
+    free, shape = weights.select(key, "concept", "weight"), ["concept", key, "weight", "file_path", "function_name", "times"]
+    if locked is not None:
+        free = free.join(locked.select(key, "concept").distinct(), [key, "concept"], "left_anti")
+    hits = free.join(counted, "concept").select(*shape)
+    if locked is not None:
+        # only what a chosen sense lists meets the occurrences themselves
+        allowed = locked.select(key, "concept", "occurrence_id").distinct().join(weights.select(key, "concept", "weight"), [key, "concept"])
+        hits = hits.unionByName(allowed.join(occ, ["concept", "occurrence_id"]).withColumn("times", F.lit(1).cast("bigint")).select(*shape))
+    hits = hits.join(df, "concept").withColumn("weight", F.col("weight") * F.col("times"))
     # what one concept says for one function adds up before anything is shuffled by file
     hits = hits.groupBy(key, "file_path", "function_name", "concept").agg((F.sum("weight") * F.first(T.idf(F.lit(files), F.col("df")))).alias("s"))
     scored = hits.groupBy(key, "file_path").agg(F.sum("s").alias("raw"), F.array_sort(F.collect_set("concept")).alias("concepts")).join(held, "file_path")
@@ -161,7 +163,7 @@ def files_of_layers(cards: DataFrame, layers: DataFrame) -> DataFrame:
 
 def skeletons(ranked: DataFrame, occurrences: DataFrame, k: int = 10, key: str = "issue_id") -> DataFrame:
     """Text of a ranked file's functions that hold matched concepts, each with its longest snippet."""
-    longest = occurrences.where("function_name <> ''").groupBy("file_path", "function_name").agg(F.max_by("code_snippet", F.struct(F.length("code_snippet"), -F.col("ordinal"))).alias("snippet"))
+    longest = occurrences.where("function_name <> ''").groupBy("file_path", "function_name").agg(F.max_by("code_snippet", F.struct(F.length("code_snippet"), -F.col("ordinal"), "code_snippet")).alias("snippet"))
     each = ranked.select(key, "file_path", F.explode("concepts").alias("split_name"))
     hits = each.join(occurrences.where("function_name <> ''"), ["file_path", "split_name"]).groupBy(key, "file_path", "function_name").agg(F.countDistinct("split_name").alias("n"))
     best = top(hits, [key, "file_path"], [F.desc("n"), "function_name"], k, "r").join(longest, ["file_path", "function_name"])

@@ -11,7 +11,7 @@ from .ranking import top
 
 def candidates(vectors: DataFrame, threshold: float = 0.55, k: int = 20, **columns) -> DataFrame:
     """For every row the ``k`` most similar rows of larger index, at the threshold or above: ``(i, j, sim, rank)``."""
-    pairs = similar_pairs(vectors, threshold, **columns).withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= threshold)
+    pairs = similar_pairs(vectors, threshold, k=k, **columns)
     return top(pairs, ["i"], [F.desc("sim"), "j"], k)
 
 

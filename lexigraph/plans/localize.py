@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..functions.vectors import similar_pairs
+from ..functions.vectors import cosine, similar_across
 from ..operators import bm25, graph, models, retrieval, routing
-from ..operators.concepts import concept_text, longest_definition
+from ..operators.concepts import seed_text
 from ..sources.lineage import cut
 from .config import Settings
 
@@ -19,24 +18,40 @@ def issue_texts(issues: DataFrame) -> DataFrame:
     return issues.select("issue_id", F.concat_ws("\n", T.enriched_title(F.col("title"), F.col("body")), F.col("body")).alias("text"))
 
 
-def similar_concepts(texts: DataFrame, tables: dict[str, DataFrame], floor: float) -> DataFrame:
-    """``(issue_id, concept, sim)`` by the vectors of issue and concept texts."""
-    names = concept_text(tables["concepts"], longest_definition(tables["occurrences"])) if "definition" not in tables["concepts"].columns else concept_text(tables["concepts"].drop("definition"), tables["concepts"].select("canonical_name", "definition"))
-    both = texts.select(F.col("issue_id").cast("string").alias("name"), F.lit(0).alias("side"), "text").unionByName(names.select(F.col("canonical_name").alias("name"), F.lit(1).alias("side"), "text"))
-    rows = cut(models.embedded(both.withColumn("id", F.row_number().over(W.orderBy("side", "name")).cast("bigint"))))
-    pairs = similar_pairs(rows, floor).join(rows.where("side = 0").select(F.col("id").alias("i"), F.col("name").alias("issue")), "i").join(rows.where("side = 1").select(F.col("id").alias("j"), F.col("name").alias("concept")), "j")
-    return pairs.select(F.col("issue").cast(texts.schema["issue_id"].dataType).alias("issue_id"), "concept", F.round("sim", 6).alias("sim"))
+def chosen_occurrences(seeds: DataFrame, vectors: DataFrame, concepts: DataFrame, make=models.HashedEmbedder) -> DataFrame | None:
+    """``(issue_id, concept, occurrence_id)``: of seeds with several senses the occurrences of the sense most like the issue; None if no senses are known."""
+    if "definition_clusters" not in concepts.columns:
+        return None
+    each = concepts.select(F.col("canonical_name").alias("concept"), F.explode("definition_clusters").alias("s"))
+    known = cut(models.embedded(each.select("concept", "s.cluster", F.col("s.canonical_definition").alias("text")), make))
+    pairs = seeds.select("issue_id", "concept").join(known.select("concept", "cluster", "emb"), "concept").join(vectors.select("issue_id", F.col("emb").alias("asked")), "issue_id")
+    best = retrieval.chosen_sense(seeds.select("issue_id", "concept"), pairs.select("issue_id", "concept", "cluster", cosine(F.col("emb"), F.col("asked")).alias("sim"))).where("cluster is not null")
+    listed = each.select("concept", "s.cluster", F.explode("s.occurrence_ids").alias("occurrence_id"))
+    return best.join(listed, ["concept", "cluster"]).select("issue_id", "concept", "occurrence_id")
 
 
-def localize(issues: DataFrame, tables: dict[str, DataFrame], settings: Settings | None = None, cards: DataFrame | None = None) -> DataFrame:
-    """``(issue_id, rank, file_path, score, n_concepts, concepts, top_functions)``: seeds, walk, file scores, boosts."""
+def seeded(texts: DataFrame, tables: dict[str, DataFrame], settings: Settings | None = None, make=models.HashedEmbedder) -> tuple[DataFrame, DataFrame | None]:
+    """(``(issue_id, concept, weight, reason)``, occurrences of chosen senses); without an embedder names and identifiers alone are looked up."""
+    s = (settings or Settings()).retrieval
+    if make is None:
+        named = retrieval.fallback_seeds(texts, tables["concepts"]).withColumn("reason", F.lit("name"))
+        return cut(retrieval.merged_seeds([named], s.seeds)), None
+    asked = cut(models.embedded(texts.select("issue_id", "text"), make))
+    known = cut(models.embedded(seed_text(tables["concepts"]), make))
+    similar = similar_across(asked, known, s.floor, s.seeds)
+    seeds = cut(retrieval.merged_seeds([retrieval.semantic_seeds(similar, s.semantic, s.floor, s.seeds), retrieval.token_seeds(texts, retrieval.token_index(tables["concepts"]), s.lexical)], s.seeds))
+    return seeds, chosen_occurrences(seeds, asked, tables["concepts"], make)
+
+
+def localize(issues: DataFrame, tables: dict[str, DataFrame], settings: Settings | None = None, cards: DataFrame | None = None, make=models.HashedEmbedder) -> DataFrame:
+    """``(issue_id, rank, file_path, score, n_concepts, concepts, top_functions)``: seeds, senses, walk, file scores, boosts."""
     s = (settings or Settings()).retrieval
     texts = issue_texts(issues)
-    seeds = cut(retrieval.merged_seeds([retrieval.semantic_seeds(similar_concepts(texts, tables, s.floor), s.semantic, s.floor, s.seeds), retrieval.token_seeds(texts, retrieval.token_index(tables["concepts"]), s.lexical)], s.seeds))
+    seeds, locked = seeded(texts, tables, settings, make)
     start = seeds.select("issue_id", F.col("concept").alias("node"), "weight")
     reached = cut(graph.walk(start, tables["edges"], tables["concept_file"], s.hops, s.min_weight, ratio=s.max_file_ratio, by=("issue_id",)))
     files = tables["concept_file"].agg(F.countDistinct("file")).first()[0]
-    ranked = retrieval.file_scores(reached.select("issue_id", F.col("node").alias("concept"), "weight"), tables["occurrences"], files, s.top_k, s.density)
+    ranked = retrieval.file_scores(reached.select("issue_id", F.col("node").alias("concept"), "weight"), tables["occurrences"], files, s.top_k, s.density, locked)
     orphans = retrieval.orphan_tokens(texts, tables["soft_index"], tables["concepts"])
     ranked = retrieval.boosted(ranked, retrieval.soft_boost(orphans, tables["soft_index"], files))
     if cards is not None:
