@@ -3,10 +3,9 @@
 The tables hold no source code, so they stand in for it: documents are files,
 benchmark passages and conversations are issues, order lines are occurrences of
 brand-and-size concepts in the supplier's file, parts are source files of one
-form, and suppliers, nations and regions are the graph. Every query runs over whole tables, except those that
-work on what was parsed from source code: ``module_cards``,
-``graph_build``, ``localize_issues``, ``hybrid_ranking``, ``skeletons`` and
-``cached_definitions`` are fixed fixtures of five files and three issues.
+form, and suppliers, nations and regions are the graph. Every query runs over
+whole tables, except for ``graph_build``, ``localize_issues`` and
+``hybrid_ranking``, which are fixed fixtures of five files and three issues.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import words
-from .functions.vectors import similar_pairs
-from .operators import bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, ranking, reports, retrieval, routing, senses, synonyms
+from .functions.vectors import similar_across, similar_pairs
+from .operators import assembly, bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, ranking, reports, retrieval, routing, senses, synonyms
 from .plans.build import build
 from .plans.localize import hybrid, localize
 
@@ -367,6 +366,27 @@ def strongest_in_subdomain(spark, d):
     return reports.strongest(edges(spark, d), "co-occurrence", where="subdomain = 'd1'").select("src", "dst", "weight", "subdomain")
 
 
+@query(f"WITH {_OCC}, {_EDGES} SELECT count(DISTINCT split_name) AS total_concepts, count(*) AS total_occurrences, 0 AS polysemous_concepts, (SELECT count(*) FROM edges) AS total_relationships FROM occ")
+def kg_totals(spark, d):
+    return reports.totals(concepts.concepts(occurrences(spark, d)), edges(spark, d))
+
+
+@query(f"""WITH {_OCC}, r AS (SELECT split_name, raw_identifier, count(*) AS n, min(ordinal) AS o FROM occ GROUP BY ALL), f AS (SELECT split_name, count(DISTINCT file_path) AS num_files FROM occ GROUP BY 1)
+SELECT split_name AS canonical_name, sum(n)::BIGINT AS frequency, array_to_string(list(raw_identifier ORDER BY o, raw_identifier)[:5], ',') AS raw_identifiers, any_value(num_files) AS num_files FROM r JOIN f USING (split_name) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""")
+def top_concepts(spark, d):
+    occ = occurrences(spark, d)
+    cf = occ.select(F.col("split_name").alias("concept"), F.col("file_path").alias("file"))
+    return reports.top_concepts(concepts.concepts(occ), cf).withColumn("raw_identifiers", F.array_join("raw_identifiers", ","))
+
+
+@query(f"""WITH RECURSIVE {_EPS}, s AS (SELECT name, cluster, 'sense ' || min(id) AS said FROM lab GROUP BY ALL)
+SELECT 'c' || name AS canonical_name, count(*) AS num_meanings, string_agg(said, ',' ORDER BY cluster) AS meanings FROM s GROUP BY name HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 15""")
+def most_senses(spark, d):
+    label = senses.clusters(_vectors(spark, d).withColumnRenamed("label", "name"), 1.2).groupBy(F.concat(F.lit("c"), "name").alias("concept"), "cluster").agg(F.min("id").alias("first"))
+    listed = label.select("concept", "cluster", F.concat(F.lit("sense "), "first").alias("canonical_definition"), F.array("first").alias("occurrence_ids"), F.lit(0.0).alias("distinctiveness"))
+    return reports.most_senses(assembly.senses_by_concept(listed)).select("canonical_name", F.col("num_meanings").cast("bigint").alias("num_meanings"), F.array_join("meanings", ",").alias("meanings"))
+
+
 @query(f"WITH {_OCC} SELECT split_name AS canonical_name, count(*) AS frequency FROM occ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def most_frequent_concepts(spark, d):
     return reports.most_frequent(concepts.concepts(occurrences(spark, d))).select("canonical_name", "frequency")
@@ -404,6 +424,15 @@ def concept_cards(spark, d):
     return cards.select("concept", "file_count", F.array_join("files", ",").alias("files"), F.array_join(F.transform("neighbours", lambda x: x["nbr"]), ",").alias("neighbours"), F.round("idf", 6).alias("idf"))
 
 
+@query(f"""WITH {_CF}, a AS (SELECT DISTINCT 'S' || (c_custkey % 150) AS name FROM customer), f AS (SELECT concept AS name, count(*) AS df FROM cf GROUP BY 1), t AS (SELECT count(DISTINCT file)::DOUBLE AS n FROM cf)
+SELECT name, df IS NOT NULL AS known, CASE WHEN df IS NULL THEN 1.0::DOUBLE ELSE round(ln(1 + n / greatest(df, 1)), 6) END AS idf FROM a LEFT JOIN f USING (name), t""")
+def concept_lookup(spark, d):
+    cf = concept_file(spark, d)
+    names = _t(spark, d, "customer").select(F.concat(F.lit("S"), F.col("c_custkey") % 150).alias("name"))
+    known = graph.exists(names, cf.select(F.col("concept").alias("canonical_name")))
+    return known.join(graph.idf_of(names, cf), "name").select("name", "known", F.round("idf", 6).alias("idf"))
+
+
 _SEEDS = "seed(node, weight) AS (VALUES ('S0', 1.0::DOUBLE), ('N3', 0.8::DOUBLE))"
 
 
@@ -433,6 +462,18 @@ def shortest_path(spark, d):
     return graph.shortest_path(edges(spark, d), "S5", "S0").withColumn("path", F.array_join("path", ">"))
 
 
+_NEXT = "SELECT source, nbr AS node, min(path || [nbr]) AS path FROM {} JOIN adj USING (node) GROUP BY ALL"
+
+
+@query(f"""WITH {_EDGES}, p AS (SELECT DISTINCT 'S' || s_suppkey AS source, 'R' || (s_suppkey % 5) AS target FROM supplier), h0 AS (SELECT DISTINCT source, source AS node, [source] AS path FROM p),
+h1 AS ({_NEXT.format("h0")}), h2 AS ({_NEXT.format("h1")}), h3 AS ({_NEXT.format("h2")}), f AS (SELECT 1 AS hops, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3)
+SELECT source, target, hops, array_to_string(path, '>') AS path FROM p JOIN f USING (source) WHERE node = target QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY hops) = 1""")
+def shortest_paths(spark, d):
+    k = F.col("s_suppkey")
+    pairs = _t(spark, d, "supplier").select(F.concat(F.lit("S"), k).alias("source"), F.concat(F.lit("R"), k % 5).alias("target"))
+    return graph.shortest_paths(pairs, edges(spark, d)).withColumn("path", F.array_join("path", ">"))
+
+
 _S5_PATH = f"""{_EDGES}, h0 AS (SELECT 'S5' AS node, ['S5'] AS path), h1 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h0 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1),
 h2 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h1 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1), h3 AS (SELECT nbr AS node, min(path || [nbr]) AS path FROM h2 JOIN adj USING (node) WHERE NOT list_contains(path, nbr) GROUP BY 1),
 f AS (SELECT 1 AS hops, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3), best AS (SELECT path FROM f WHERE node = 'S0' ORDER BY hops, path LIMIT 1)"""
@@ -447,7 +488,7 @@ def explained_path(spark, d):
 
 _IMPACT = f"""WITH {_EDGES}, {_CF}, loc AS (SELECT file AS changed, concept AS node, 0 AS d FROM cf WHERE file IN ('o7', 'o19')),
 reach AS (SELECT changed, node, min(d) AS d FROM (FROM loc UNION ALL SELECT changed, nbr, 1 FROM loc JOIN adj USING (node)) GROUP BY ALL),
-hit AS (SELECT changed, file, bool_or(d = 0) AS direct, count(DISTINCT node) AS shared FROM reach JOIN cf ON node = concept WHERE file <> changed GROUP BY ALL)"""
+hit AS (SELECT changed, file, bool_or(d = 0) AS direct, count(DISTINCT node) AS shared FROM reach JOIN cf ON node = concept WHERE file <> changed GROUP BY ALL HAVING bool_or(d = 0) OR NOT (contains(file, changed) OR contains(changed, file)))"""
 
 
 def _changed(spark):
@@ -563,11 +604,20 @@ def token_seeds(spark, d):
 b AS (SELECT vec_id AS issue_id, vec_id + 1 AS concept, 0.3::DOUBLE * (vec_id % 2)::DOUBLE AS weight FROM embeddings), m AS (SELECT issue_id, concept, max(weight) AS weight FROM (FROM a UNION ALL FROM b) GROUP BY ALL)
 SELECT issue_id, concept, round(weight, 8) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY weight DESC, concept) AS r FROM m) WHERE r <= 10""")
 def seed_merge(spark, d):
-    sim = similar_pairs(_vectors(spark, d), 0.1499).select(F.col("i").alias("issue_id"), F.col("j").alias("concept"), F.round("sim", 6).alias("sim"))
+    sim = similar_pairs(_vectors(spark, d), 0.15, k=10).select(F.col("i").alias("issue_id"), F.col("j").alias("concept"), "sim")
     other = _t(spark, d, "embeddings").select(F.col("vec_id").alias("issue_id"), (F.col("vec_id") + 1).alias("concept"), (0.3 * (F.col("vec_id") % 2)).alias("weight"), F.lit("token").alias("reason"))
     return retrieval.merged_seeds([retrieval.semantic_seeds(sim, k=10), other], 10).select("issue_id", "concept", F.round("weight", 8).alias("weight"))
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+sim AS (SELECT x.vec_id AS issue_id, y.vec_id AS concept, round(list_dot_product(x.e, y.e) / (x.n * y.n), 6) AS sim FROM v x, v y)
+SELECT issue_id, concept, sim, row_number() OVER (PARTITION BY issue_id ORDER BY sim DESC, concept) AS rank FROM sim WHERE sim >= 0.15 QUALIFY rank <= 10""")
+def issue_concept_similarity(spark, d):
+    rows = _vectors(spark, d)
+    found = similar_across(rows.withColumnRenamed("id", "issue_id"), rows.withColumnRenamed("id", "concept"), 0.15, 10)
+    return ranking.top(found, ["issue_id"], [F.desc("sim"), "concept"], 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 _W = "w AS (SELECT s_suppkey AS issue_id, 'brand' || (s_suppkey % 25 + 1) || '_' || n AS concept, n / 20::DOUBLE AS weight FROM supplier, range(1, 20) r(n))"
 
 
@@ -598,6 +648,26 @@ def top_functions(spark, d):
     return rows.select("issue_id", "file_path", F.col("f.name").alias("function_name"), F.col("f.score").alias("score"), (F.col("p") + 1).alias("place"))
 
 
+_LOCKED = _RANKED.replace("JOIN df USING (concept), nf GROUP", "JOIN df USING (concept), nf WHERE NOT (ends_with(concept, '_5') AND ordinal % 2 = 1 AND concept IN (SELECT split_name FROM occ WHERE ordinal % 2 = 0)) GROUP")
+
+
+@query(f"WITH {_LOCKED} SELECT * FROM rk")
+def sense_locked_ranking(spark, d):
+    occ, weights = occurrences(spark, d), _concept_weights(spark, d)
+    sense = occ.where("ordinal % 2 = 0").select(F.col("split_name").alias("concept"), "occurrence_id")
+    locked = weights.where(F.endswith("concept", F.lit("_5"))).join(sense, "concept").select("issue_id", "concept", "occurrence_id")
+    return retrieval.file_scores(weights, occ, occ.agg(F.countDistinct("file_path")).first()[0], locked=locked).select("issue_id", "rank", "file_path", "score", "n_concepts")
+
+
+@query(f"""WITH {_RANKED}, sk AS (SELECT issue_id, file_path, function_name, count(DISTINCT concept) AS n FROM hit SEMI JOIN rk USING (issue_id, file_path) GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY issue_id, file_path ORDER BY n DESC, function_name) AS r FROM sk QUALIFY r <= 10),
+lg AS (SELECT file_path, function_name, arg_max(definition, (length(definition), -ordinal, definition)) AS snippet FROM occ GROUP BY ALL)
+SELECT issue_id, file_path, md5(string_agg('# ' || function_name || chr(10) || snippet, chr(10) || chr(10) ORDER BY r)) AS digest FROM pk JOIN lg USING (file_path, function_name) GROUP BY ALL""")
+def skeletons(spark, d):
+    made = retrieval.skeletons(_ranked(spark, d), occurrences(spark, d).withColumnRenamed("definition", "code_snippet"))
+    return made.select("issue_id", "file_path", F.md5("skeleton").alias("digest"))
+
+
 _SOFT = "soft AS (SELECT DISTINCT lower(p_type) || (p_size % 10) AS token, 'pkg' || (l_suppkey % 5) || '/s' || l_suppkey || '.py' AS file_path FROM lineitem JOIN part ON l_partkey = p_partkey), iss AS (SELECT s_suppkey AS issue_id, 'standard' || (s_suppkey % 10) || ' economy' || (s_suppkey % 7) || ' small1' AS text FROM supplier)"
 
 
@@ -837,7 +907,7 @@ def _sources(spark):
 
 
 def part_sources(spark, d):
-    """A source file for every part, of one form: a class with a method, an element assigned, an attribute, a call."""
+    """A source file for every part, of one form: a class with a method, an element assigned, an attribute, a call, an import of the next part's."""
     a, b = (F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2))
     lines = [
         F.lit("import json as js"),
@@ -846,21 +916,36 @@ def part_sources(spark, d):
         F.concat(F.lit("        "), b, F.lit("_map['k'] = js.loads(arg_"), F.col("p_size"), F.lit(")")),
         F.concat(F.lit("        self."), a, F.lit("_size = "), F.col("p_size").cast("string")),
         F.concat(F.lit("top_"), a, F.lit(" = 1")),
+        F.concat(F.lit("import m"), (F.col("p_partkey") + 1) % 7, F.lit(".p"), F.col("p_partkey") + 1),
     ]
     return _t(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey") % 7, F.lit("/p"), F.col("p_partkey"), F.lit(".py")).alias("file_path"), F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("text"))
 
 
-@query("""WITH p AS (SELECT 'm' || (p_partkey % 7) || '/p' || p_partkey || '.py' AS file_path, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size AS s FROM part)
-SELECT file_path, unnest(['js', upper(a[1]) || a[2:], 'Base', 'read_' || b, 'self', 'arg_' || s, b || '_map', 'loads', a || '_size', a || '_size', 'top_' || a]) AS raw_identifier,
-unnest(['import', 'class_name', 'class_name', 'function_name', 'parameter', 'parameter', 'variable', 'attribute', 'variable', 'attribute', 'variable']) AS identifier_type, unnest([1, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6]) AS line_number FROM p""")
+_PARTS = "p AS (SELECT 'm' || (p_partkey % 7) || '/p' || p_partkey || '.py' AS file_path, p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size AS s FROM part)"
+_FOUND = """found AS (SELECT file_path, unnest(['js', upper(a[1]) || a[2:], 'Base', 'read_' || b, 'self', 'arg_' || s, b || '_map', 'loads', a || '_size', a || '_size', 'top_' || a, 'm' || ((k + 1) % 7)]) AS raw_identifier,
+unnest(['import', 'class_name', 'class_name', 'function_name', 'parameter', 'parameter', 'variable', 'attribute', 'variable', 'attribute', 'variable', 'import']) AS identifier_type, unnest([1, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6, 7]) AS line_number FROM p)"""
+
+
+@query(f"WITH {_PARTS}, {_FOUND} SELECT * FROM found")
 def ast_extract(spark, d):
     return extraction.occurrences(part_sources(spark, d)).select("file_path", "raw_identifier", "identifier_type", "line_number")
 
 
-@query()
+@query(f"""WITH {_PARTS} SELECT file_path, '' AS responsibility, 'm' || (k % 7) AS layer, upper(a[1]) || a[2:] || ',read_' || b AS key_concepts, 2 AS symbol_count, 2 AS imports_from_count, (k - 1 IN (SELECT p_partkey FROM part))::INT AS imported_by_count FROM p""")
 def module_cards(spark, d):
-    found = extraction.symbols(_sources(spark))
-    return extraction.module_cards(found, found.select("file_path", F.lit("").alias("responsibility"), F.split_part("file_path", F.lit("/"), F.lit(1)).alias("layer"), F.slice("symbols", 1, 2).alias("key_concepts")))
+    found = extraction.symbols(part_sources(spark, d))
+    cards = extraction.module_cards(found, found.select("file_path", F.lit("").alias("responsibility"), F.split_part("file_path", F.lit("/"), F.lit(1)).alias("layer"), F.slice("symbols", 1, 2).alias("key_concepts")))
+    return cards.withColumn("key_concepts", F.array_join("key_concepts", ","))
+
+
+@query("""WITH a AS (SELECT c_custkey AS issue_id, unnest(['core/f' || (c_custkey % 50) || '.py', 'a.py', 'pkg/b' || (c_custkey % 3) || '.py'][:CASE c_custkey % 4 WHEN 3 THEN 0 ELSE 3 END]) AS file_path, unnest([1, 2, 3][:CASE c_custkey % 4 WHEN 3 THEN 0 ELSE 3 END]) AS rank FROM customer)
+SELECT issue_id, rank, file_path FROM a""")
+def model_ranking(spark, d):
+    k = F.col("c_custkey")
+    quoted = lambda between: F.concat_ws(between, F.format_string('"core/f%s.py"', (k % 50).cast("string")), F.lit('"a.py"'), F.format_string('"pkg/b%s.py"', (k % 3).cast("string")))
+    listed = F.concat(F.lit("["), quoted(", "), F.lit("]"))
+    answer = F.when(k % 4 == 0, listed).when(k % 4 == 1, F.concat(F.lit("Likely ones:\n```json\n"), listed, F.lit("\n```\nin [that] order"))).when(k % 4 == 2, F.concat(F.lit("I would change "), quoted(" and "), F.lit("."))).otherwise("no idea")
+    return models.ranked_answers(_t(spark, d, "customer").select(k.alias("issue_id"), answer.alias("answer")))
 
 
 @query()
@@ -882,15 +967,9 @@ def hybrid_ranking(spark, d):
     return hybrid(_asked(spark), build(_sources(spark)), _sources(spark))
 
 
-@query()
-def skeletons(spark, d):
-    tables = build(_sources(spark))
-    return retrieval.skeletons(localize(_asked(spark), tables), tables["occurrences"])
-
-
-@query()
+@query(f"WITH {_PARTS}, {_FOUND} SELECT raw_identifier, 'The ' || replace(identifier_type, '_', ' ') || ' ' || raw_identifier AS answer FROM found")
 def cached_definitions(spark, d):
-    prompts = models.definition_prompts(extraction.occurrences(_sources(spark))).select("raw_identifier", "prompt")
+    prompts = models.definition_prompts(extraction.occurrences(part_sources(spark, d))).select("raw_identifier", "prompt")
     return models.through_cache(prompts, spark.createDataFrame([], "key string, answer string"))[0].select("raw_identifier", "answer")
 
 

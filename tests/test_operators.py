@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
-from lexigraph.functions.vectors import similar_pairs
+from lexigraph.functions.vectors import similar_across, similar_pairs
 from lexigraph.operators import bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, routing, senses
 from lexigraph.plans.config import load
 from lexigraph.sources.cache import CacheTable
@@ -249,3 +249,242 @@ def test_longest_definition_has_a_full_order(spark):
     rows = [("n", "bb", 1), ("n", "aa", 1), ("n", "c", 0), ("m", "", 3), ("o", "x", 5), ("o", "y", 4)]
     occ = spark.createDataFrame(rows, "split_name string, definition string, ordinal int")
     assert {tuple(r) for r in longest_definition(occ).collect()} == {("n", "aa"), ("o", "y")}
+
+
+def test_similar_across_is_the_best_of_all(spark):
+    rng = random.Random(5)
+    left = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)] + [(99, None)]
+    right = [(f"c{i:02}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(50)]
+    right += [("same", right[0][1]), ("zero", [0.0] * 4), (None, right[1][1])]
+    rows = lambda data, name: spark.createDataFrame(data, f"{name}, emb array<double>")
+    norm = lambda x: sum(v * v for v in x) ** 0.5
+    want = {}
+    for i, x in left[:-1]:
+        sims = [(-round(sum(a * b for a, b in zip(x, y, strict=True)) / (norm(x) * norm(y)), 6), c) for c, y in right if c and any(y)]
+        want[i] = sorted(p for p in sims if p[0] <= -0.2)[:5]
+    for block in (4096, 8):
+        got = similar_across(rows(left, "issue_id int"), rows(right, "concept string"), 0.2, 5, block=block)
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.issue_id, []).append((-r.sim, r.concept))
+        assert {i: sorted(p)[:5] for i, p in found.items()} == {i: p for i, p in want.items() if p}
+    assert similar_across(rows([], "issue_id int"), rows(right, "concept string"), 0.2, 5).count() == 0
+
+
+def test_model_answers_paths_and_cards(spark):
+    one_text = lambda t: spark.createDataFrame([(t,)], "answer string").select(T.listed_paths(F.col("answer")).alias("p")).first().p
+    assert one_text('["a.py", "b/c.py"]') == ["a.py", "b/c.py"]
+    assert one_text('so:\n```json\n["a.py"]\n``` or ["b.py"]') == ["a.py"]
+    assert one_text('either "a/b.py" or "c.py"') == ["a/b.py", "c.py"]
+    assert one_text("none") == [] and one_text(None) == []
+    issues = spark.createDataFrame([(1, "it breaks")], "issue_id int, text string")
+    prompt = models.ranking_prompts(issues, spark.createDataFrame([("b.py",), ("a.py",)], "file_path string")).first().prompt
+    assert "it breaks" in prompt and "a.py\nb.py" in prompt
+
+    said = lambda text: lambda df: df.withColumn("answer", F.lit(text))
+    found = spark.createDataFrame([("a.py", ["F"], [])], "file_path string, symbols array<string>, imports array<string>")
+    card = models.described(found, said('```json\n{"layer": "core", "key_concepts": ["k"]}\n```')).first()
+    assert (card.layer, card.key_concepts, card.responsibility) == ("core", ["k"], "")
+    assert models.described(found, said("sorry")).first().layer == "utility"
+    told = spark.createDataFrame([(1, "f.py", "seeds: a")], "issue_id int, file_path string, explanation string")
+    assert models.told(told, said("short")).first().summary == "short"
+    assert models.told(told, said("")).first().summary == "file: f.py\nseeds: a"
+
+
+def test_reasons_and_consequences(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    cf = spark.createDataFrame([("a", "f1"), ("b", "f2"), ("c", "f3"), ("d", "f4"), ("a", "f3")], "concept string, file string")
+    terms = spark.createDataFrame([(1, "A"), (1, "zzz"), (2, "c")], "issue_id int, term string")
+    told = models.diagnosed(terms, e, cf)
+    why = {(r.issue_id, r.file): r.path for r in models.reasons(told, e, cf).collect()}
+    assert why == {(1, "f1"): ["a"], (1, "f2"): ["a", "b"], (1, "f3"): ["a"], (2, "f2"): ["c", "b"], (2, "f3"): ["c"], (2, "f4"): ["c", "d"]}
+    hit = {(r.issue_id, r.file): r.direct for r in models.consequences(told, e, cf).collect()}
+    assert (1, "f1") not in hit and hit[1, "f4"] is False and hit[2, "f1"] is True
+
+
+def test_impact_leaves_out_paths_that_hold_one_another(spark):
+    e = spark.createDataFrame([("a", "b")], "src string, dst string")
+    cf = spark.createDataFrame([("a", "x.py"), ("b", "pkg/x.py"), ("b", "y.py"), ("a", "lib/x.py")], "concept string, file string")
+    got = {r.file: r.direct for r in graph.impact(spark.createDataFrame([("x.py",)], "changed string"), e, cf).collect()}
+    assert got == {"y.py": False, "lib/x.py": True}
+
+
+def test_sinks(spark, tmp_path):
+    import json
+    import xml.etree.ElementTree as ET
+
+    from lexigraph.sources.sinks import save_gexf, save_json, to_graph_database
+
+    tables = {
+        "concepts": spark.createDataFrame([('a<&">', 2, ["A"]), ("b", 1, ["B", "b"])], "canonical_name string, frequency bigint, all_raw_identifiers array<string>"),
+        "occurrences": spark.createDataFrame([], "occurrence_id string, split_name string"),
+        "edges": spark.createDataFrame([("b", 'a<&">', "co-occurrence", 0.2), ('a<&">', "b", "synonym", 0.9)], "src string, dst string, type string, weight double"),
+    }
+    save_json(tables, f"file://{tmp_path}/g.json")
+    doc = json.loads((tmp_path / "g.json").read_text())
+    assert (len(doc["concepts"]), doc["occurrences"], len(doc["relationships"])) == (2, [], 2)
+    save_gexf(tables, f"file://{tmp_path}/g.gexf")
+    root, ns = ET.parse(tmp_path / "g.gexf").getroot(), "{http://gexf.net/1.3}"
+    assert {n.get("id") for n in root.iter(f"{ns}node")} == {'a<&">', "b"}
+    assert [(x.get("weight"), x.find(f"{ns}attvalues/{ns}attvalue").get("value")) for x in root.iter(f"{ns}edge")] == [("0.2", "co-occurrence")]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["g.gexf", "g.json"]
+
+    log = tmp_path / "log.txt"
+
+    class Server:
+        def run(self, statement, rows):
+            if "INDEX" in statement:
+                raise ValueError("unknown")
+            with open(log, "a") as f:
+                f.write(f"{statement} {len(rows)}\n")
+            return 7
+
+        def close(self):
+            pass
+
+    full = tables["edges"].selectExpr("*", "null as track", "null as reason", "null as subdomain")
+    assert to_graph_database(tables | {"edges": full.selectExpr("src", "dst", "type", "weight", "string(track)", "string(reason)", "string(subdomain)")}, Server, clear=True) == {"nodes": 7, "edges": 7}
+    lines = log.read_text().splitlines()
+    assert lines[0].startswith("MATCH (n) DETACH DELETE") and "CONSTRAINT" in lines[1] and sum(int(x.split()[-1]) for x in lines) == 4
+
+
+def _serve(replies):
+    """A local server that answers by path; a list of replies is used up in turn."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            size = int(self.headers.get("Content-Length") or 0)
+            body = json.loads(self.rfile.read(size)) if size else None
+            reply = replies(self.path, body)
+            code, data = reply if isinstance(reply, tuple) else (200, reply)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(data).encode())
+
+        do_POST = do_GET
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}"
+
+
+def test_model_clients():
+    import pytest
+
+    from lexigraph.sources.clients import ChatWriter, HttpEmbedder, LocalEmbedder, MessagesWriter
+
+    busy = [(429, {})]
+
+    def replies(path, body):
+        if busy:
+            return busy.pop()
+        if path == "/refused/chat/completions":
+            return 401, {}
+        if path == "/chat/completions":
+            return {"choices": [{"message": {"content": body["messages"][-1]["content"].upper()}}]}
+        if path == "/messages":
+            return {"content": [{"type": "text", "text": "m:"}, {"type": "text", "text": body["messages"][0]["content"]}]}
+        return {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    server, url = _serve(replies)
+    try:
+        assert ChatWriter(url, "m", wait=0.01, at_once=1).answer(["a", "b"]) == ["A", "B"]
+        assert ChatWriter(f"{url}/refused", "m").answer(["a"]) == [""]
+        assert MessagesWriter(url, "m").answer(["x"]) == ["m:x"]
+        assert HttpEmbedder(url, "m").embed(["a" * n for n in range(150)]) == [[float(n)] for n in range(150)]
+    finally:
+        server.shutdown()
+    with pytest.raises(RuntimeError):
+        LocalEmbedder("none").embed(["a"])
+
+
+def test_fixing_changes_of_a_tracker(spark):
+    from urllib.parse import urlparse
+
+    from lexigraph.sources.issues import fixing_changes
+
+    def replies(path, body):
+        return {
+            "/issues": [{"number": 1, "state": "closed"}, {"number": 2, "state": "closed"}, {"number": 9, "state": "closed", "pull_request": {}}],
+            "/issues/1/timeline": [{"event": "closed"}, {"event": "cross-referenced", "source": {"issue": {"number": 8, "pull_request": {}}}}, {"event": "cross-referenced", "source": {"issue": {"number": 7, "pull_request": {}}}}],
+            "/issues/2/timeline": [{"event": "cross-referenced", "source": {"issue": {"number": 5}}}],
+            "/pulls/8": {"merged": False},
+            "/pulls/7": {"merged": True},
+            "/pulls/7/files": [{"filename": "src/a.py"}, {"filename": "src/a.js"}, {"filename": "doc/b.py"}],
+        }.get(urlparse(path).path, (404, {}))
+
+    server, url = _serve(replies)
+    try:
+        assert [tuple(r) for r in fixing_changes(spark, url, 1, "src/").collect()] == [(1, 7, ["src/a.py"])]
+    finally:
+        server.shutdown()
+
+
+def test_build_goes_on_caches_and_chooses_senses(spark, tmp_path):
+    from lexigraph.plans import localize as L
+    from lexigraph.plans.build import build
+    from lexigraph.plans.stages import Stages
+    from lexigraph.queries import SOURCES
+
+    class Counting(models.TemplateWriter):
+        def answer(self, prompts):
+            with open(tmp_path / "asked", "a") as f:
+                f.write("x\n" * len(prompts))
+            return super().answer(prompts)
+
+    files = spark.createDataFrame(SOURCES, "file_path string, text string")
+    asked = lambda: (tmp_path / "asked").read_text().count("x") if (tmp_path / "asked").exists() else 0
+    edges = lambda t: sorted(map(str, t["edges"].collect()))
+    out, cache = f"file://{tmp_path}/out", f"file://{tmp_path}/cache"
+    first = build(files, keep=Stages(spark, out), cache=cache, writer=Counting)
+    n, told = asked(), edges(first)
+    assert n > 0 and told
+    first = build(files, keep=Stages(spark, out, 5), cache=cache, writer=Counting)
+    assert edges(first) == told and asked() == n
+    few = build(files, cache=cache, sample=(2, 1))["occurrences"].where("definition is not null")
+    assert 0 < few.count() and few.groupBy("split_name").count().where("count > 1").isEmpty()
+
+    issues = spark.createDataFrame([(1, "edition author record merge", "")], "issue_id bigint, title string, body string")
+    assert {r.reason for r in L.seeded(L.issue_texts(issues), first, make=None)[0].collect()} == {"name"}
+    assert L.localize(issues, first, make=None).count() > 0
+    sense = spark.createDataFrame([("n", [(0, "paper record", ["o1"], 0.0), (1, "gold medal", ["o2", "o3"], 0.0)])], "canonical_name string, definition_clusters array<struct<cluster: int, canonical_definition: string, occurrence_ids: array<string>, distinctiveness: double>>")
+    vectors = models.embedded(spark.createDataFrame([(1, "a gold medal"), (2, "paper")], "issue_id bigint, text string"))
+    seeds = spark.createDataFrame([(1, "n", 1.0), (2, "n", 1.0), (2, "other", 1.0)], "issue_id bigint, concept string, weight double")
+    assert sorted(tuple(r) for r in L.chosen_occurrences(seeds, vectors, sense).collect()) == [(1, "n", "o2"), (1, "n", "o3"), (2, "n", "o1")]
+    text = concepts.seed_text(sense.selectExpr("*", "'long definition' as definition", "array('n') as split_terms", "array('N', 'n') as all_raw_identifiers"))
+    assert text.first().text == "n | paper record | n | N, n"
+
+
+def test_yaml_cards_logging_and_report(spark, tmp_path):
+    import pytest
+
+    from lexigraph import log
+    from lexigraph.operators import reports
+    from lexigraph.plans.config import embedder, writer
+    from lexigraph.sources.files import cards_if_there
+
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("retrieval:\n  top_k: 7\nmodels:\n  embedder: none\n")
+    got = load(str(tmp_path / "s.yaml"), environ={"LEXIGRAPH_MODELS_WRITER": "chat", "LEXIGRAPH_MODELS_WRITER_URL": "http://x"})
+    assert got.retrieval.top_k == 7 and embedder(got) is None and writer(got)().url == "http://x"
+    (tmp_path / "c.json").write_text('{"cards": [{"file_path": "a.py", "key_concepts": ["K"]}, {"file_path": "b.py", "layer": "core"}]}')
+    assert sorted((r.file_path, r.layer, r.key_concepts) for r in cards_if_there(spark, str(tmp_path / "c.json")).collect()) == [("a.py", "utility", ["K"]), ("b.py", "core", [])]
+    assert cards_if_there(spark, str(tmp_path / "no.json")).count() == 0
+    log.setup("INFO", str(tmp_path / "logs" / "l.txt")).info("hello")
+    assert "INFO lexigraph: hello" in (tmp_path / "logs" / "l.txt").read_text()
+    rows = spark.createDataFrame([(n, ["a.py"], None, None) for n in range(40)], "issue_id int, gt_files array<string>, predicted_files array<string>, file_rank int")
+    text = reports.navigation(spark.createDataFrame([(40, 0.5)], "n int, hit_rate double"), rows)
+    assert "| hit_rate | 0.5 |" in text and "(40 in all)" in text and "| 30 | 29 | a.py | (none) | - |" in text
+
+
+def test_paths_lose_their_roots_before_they_meet(spark):
+    told = spark.createDataFrame([(1, "src/lib/a.py", 2)], "issue_id int, file_path string, rank int")
+    truth = spark.createDataFrame([(1, "lib/a.py")], "issue_id int, file_path string")
+    assert evaluation.first_hits(told, truth).first()["rank"] is None
+    assert evaluation.first_hits(told, truth, roots=("lib",)).first()["rank"] == 2
