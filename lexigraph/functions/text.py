@@ -143,6 +143,11 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """``value`` times the power of ten, rounded half away from zero and divided again, as SQL's ``round`` of a double."""
+    return F.round(value * 10.0**digits, 0) / 10.0**digits
+
+
 def prompt(template: str, **fields: Column) -> Column:
     """Template filled from columns; nulls and empty texts read ``(none)``."""
     out = F.lit(template)

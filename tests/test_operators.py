@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
 from lexigraph.functions.vectors import similar_across, similar_pairs
-from lexigraph.operators import bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, routing, senses
+from lexigraph.operators import bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, retrieval, routing, senses
 from lexigraph.plans.config import load
 from lexigraph.sources.cache import CacheTable
 from lexigraph.sources.files import json_if_there, text_files
@@ -488,3 +489,15 @@ def test_paths_lose_their_roots_before_they_meet(spark):
     truth = spark.createDataFrame([(1, "lib/a.py")], "issue_id int, file_path string")
     assert evaluation.first_hits(told, truth).first()["rank"] is None
     assert evaluation.first_hits(told, truth, roots=("lib",)).first()["rank"] == 2
+
+
+def test_architecture_boost_rounds_ties_up(spark):
+    """8.321 * 1.05 is 8.73705, which SQL rounds to 8.7371; three steps are 0.15 and four or more 0.20."""
+    names = ["alpha", "beta", "gamma", "delta", "omega"]
+    scores = {1: 8.321, 2: 8.321, 3: 8.793, 4: 1.0, 5: 1.0}
+    ranked = spark.createDataFrame([(7, f"p/f{n}.py", v, 1) for n, v in scores.items()], "issue_id int, file_path string, score double, rank int")
+    cards = spark.createDataFrame([(f"p/f{n}.py", names[: n % 6]) for n in (1, 3, 4, 5)], "file_path string, key_concepts array<string>")
+    issues = spark.createDataFrame([(7, " ".join(names))], "issue_id int, text string")
+    got = {r.file_path: r.score for r in retrieval.architecture_boost(ranked, cards, issues).collect()}
+    # 8.793 * 1.15 is 10.11195
+    assert got == {"p/f1.py": 8.7371, "p/f2.py": 8.321, "p/f3.py": duckdb.connect().execute("SELECT round(8.793::DOUBLE * 1.15, 4)").fetchone()[0], "p/f4.py": 1.2, "p/f5.py": 1.2}
