@@ -7,10 +7,14 @@ Newton steps. The score quantile that matches the share of rejected documents
 among the training labels becomes the threshold, and scores are a sigmoid around
 it: 0.5 is the threshold itself.
 
-The model is fitted on the driver from the features (a few dozen numbers a
-document) of at most ``sample`` labelled documents, the first by a hash of the id,
-and from :data:`PAIRS_EACH` random pairs for each of them; everything else is one
-pass over the texts. Labels, language, source and id are never features.
+The model is fitted on all labelled documents that may teach. Each of them draws
+:data:`PAIRS_EACH` partners of the other class from its block of rows, so each is
+in as many pairs or more; medians, spreads, gradients, the threshold and its scale
+are sums over all blocks (order statistics by counts of their leading bits, exactly).
+Up to :data:`FEW` rows of features (a few dozen numbers a document) are summed on
+the driver; more stay in the shared folder, and the driver receives sums only, of a
+size that the features' number fixes. Everything else is one pass over the texts.
+Labels, language, source and id are never features.
 
 Defined cases: null and empty texts have the features of an empty text and are
 scored; texts are read whole; repeated rows give repeated rows; a document that
@@ -23,8 +27,10 @@ only, or none, every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -32,10 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import Scratch, gathered, in_small_batches
 
-#: Labelled rows that the model is fitted on, at most.
-SAMPLE = 20_000
+#: Labelled rows whose features are brought to the driver, at most; the code that fits is the same.
+FEW = 20_000
+#: Binary logarithm of the rows of a block, which draw their pairs from one another.
+BLOCK_BITS = 12
+#: Rows of a file of blocks.
+FILE = 8 << BLOCK_BITS
 #: Preference pairs drawn for each labelled document.
 PAIRS_EACH = 4
 
@@ -121,32 +131,136 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((self.strength(x) - self.threshold) / self.scale, -30, 30)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """Weights from random pairs of a preferred and another document."""
+#: Sum of what a function of the features and labels of a block gives, over all blocks; nothing for no rows.
+Over = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray | None]
+
+
+def _ranked(over: Over, values: Callable[[np.ndarray], np.ndarray], ranks: np.ndarray) -> np.ndarray:
+    """The values of the given ranks (from 0; a row of ranks for each column of ``values``), exactly: eleven bits of their order a pass."""
+    sign = np.uint64(1 << 63)
+    prefix, left = np.zeros(ranks.shape, np.uint64), ranks.astype(np.int64)
+    for shift, bits in ((53, 11), (42, 11), (31, 11), (20, 11), (9, 11), (0, 9)):
+
+        def count(x, label, shift=np.uint64(shift), bits=np.uint64(bits), prefix=prefix):
+            b = (np.ascontiguousarray(values(x), np.float64) + 0.0).view(np.uint64)
+            b = np.where(b & sign, ~b, b | sign) >> shift
+            size = 1 << int(bits)
+            head, digit = b >> bits, (b & np.uint64(size - 1)).astype(np.int64)
+            return np.concatenate([np.bincount(digit[head[:, c] == prefix[t, c], c], minlength=size) for t, c in np.ndindex(prefix.shape)])
+
+        below = over(count).reshape(*ranks.shape, -1).astype(np.int64).cumsum(axis=-1)
+        digit = (below <= left[..., None]).sum(axis=-1)
+        left -= np.where(digit > 0, np.take_along_axis(below, np.maximum(digit - 1, 0)[..., None], -1)[..., 0], 0)
+        prefix = prefix << np.uint64(bits) | digit.astype(np.uint64)
+    return np.where(prefix & sign, prefix ^ sign, ~prefix).view(np.float64)
+
+
+def _step(model: Model, pools: dict[int, np.ndarray], pairs_each: int, seed: int):
+    """Gradient and Hessian of a block's pairs: each row with ``pairs_each`` of the other class, whose rows come equally often.
+
+    A block that lacks a class takes its partners from that class's pool.
+    """
+
+    def run(x, label):
+        z = _expand(x, model)
+        good, bad = z[label == 1], z[label == 0]
+        goods, bads = len(good), len(bad)
+        good, bad = good if goods else _expand(pools[1], model), bad if bads else _expand(pools[0], model)
+        rng = np.random.default_rng([seed, goods, bads])
+        gradient, hessian = np.zeros(z.shape[1]), np.zeros((z.shape[1], z.shape[1]))
+        for _ in range(pairs_each):
+            i = np.concatenate([np.arange(goods), np.resize(rng.permutation(len(good)), bads)])
+            j = np.concatenate([np.resize(rng.permutation(len(bad)), goods), np.arange(bads)])
+            d = good[i] - bad[j]
+            p = 1 / (1 + np.exp(-np.clip(d @ model.weights, -30, 30)))
+            gradient += d.T @ (p - 1)
+            hessian += (d * (p * (1 - p))[:, None]).T @ d
+        return np.concatenate([gradient, hessian.ravel()])
+
+    return run
+
+
+def _fit(over: Over, first: Callable[[int], np.ndarray], pairs_each: int, ridge: float, seed: int) -> Model:
+    """Model from sums over all blocks; ``first`` gives up to a block of features of a class."""
     width = len(features(None))
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not (len(good) and len(bad)):
+
+    def tally(x, label):
+        goods = int((label == 1).sum())
+        return np.concatenate([[goods, len(label) - goods, goods == 0, goods == len(label)], x.sum(axis=0)])
+
+    sums = over(tally)
+    if sums is None or not (sums[0] and sums[1]):
         return Model(np.zeros(width), np.ones(width), np.zeros(4 * width))
-    middle = np.median(x, axis=0)
-    model = Model(middle, np.maximum(np.std(x, axis=0), 1e-6), np.zeros(4 * width))
-    rng = np.random.default_rng(seed)
-    some = pairs_each * len(label)
-    z = _expand(x, model)
-    d = z[rng.choice(good, some)] - z[rng.choice(bad, some)]
-    w = np.zeros(d.shape[1])
+    bads, rows = int(sums[1]), int(sums[0] + sums[1])
+    pools = {label: first(label) for label, lacking in ((1, sums[2]), (0, sums[3])) if lacking}
+    mean = sums[4:] / rows
+    spread = np.sqrt(over(lambda x, label: ((x - mean) ** 2).sum(axis=0)) / rows)
+    middle = _ranked(over, lambda x: x, np.array([[(rows - 1) // 2] * width, [rows // 2] * width])).mean(axis=0)
+    model = Model(middle, np.maximum(spread, 1e-6), np.zeros(4 * width))
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        gradient = d.T @ (p - 1) / some + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / some + ridge * np.eye(len(w))
-        w -= np.linalg.solve(hessian, gradient)
-    model.weights = w
-    s = model.strength(x)
+        sums = over(_step(model, pools, pairs_each, seed)) / (pairs_each * rows)
+        w = model.weights
+        gradient = sums[: len(w)] + ridge * w
+        hessian = sums[len(w) :].reshape(len(w), -1) + ridge * np.eye(len(w))
+        move = np.linalg.solve(hessian, gradient)
+        model = replace(model, weights=w - move)
+        if np.abs(move).max() < 1e-10:
+            break
     # the quantile of the share to reject; midway to the next strength, so that it parts them
-    k = int(round(len(bad) / (len(good) + len(bad)) * len(s)))
-    s.sort()
-    model.threshold = float((s[max(0, k - 1)] + s[min(k, len(s) - 1)]) / 2)
-    model.scale = max(float(np.std(s)) / 4, 1e-9)
-    return model
+    threshold = float(_ranked(over, lambda x: model.strength(x)[:, None], np.array([[bads - 1], [bads]])).mean())
+    mean = over(lambda x, label: model.strength(x).sum(keepdims=True)) / rows
+    spread = np.sqrt(over(lambda x, label: ((model.strength(x) - mean) ** 2).sum(keepdims=True)) / rows)
+    return replace(model, threshold=threshold, scale=max(float(spread[0]) / 4, 1e-9))
+
+
+def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """Weights from random pairs of a preferred and another document; every row is in ``pairs_each`` or more."""
+    order = np.random.default_rng(seed).permutation(len(label))
+    cuts = np.split(order, range(1 << BLOCK_BITS, len(order), 1 << BLOCK_BITS)) if len(order) else []
+    return _fit(lambda measure: sum(measure(x[c], label[c]) for c in cuts) if cuts else None, lambda kind: x[order[label[order] == kind][: 1 << BLOCK_BITS]], pairs_each, ridge, seed)
+
+
+def _fit_where_it_is(blocks: DataFrame, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """:func:`fit` of the saved rows ``(block, _label, x)``, those of a block one after the other."""
+    width, most = len(features(None)), 1 << BLOCK_BITS
+
+    def over(measure):
+        def run(batches):
+            total = None
+            held: list[np.ndarray] = []  # block, label and features
+
+            def add():
+                nonlocal total
+                rows = np.concatenate(held)
+                part = np.asarray(measure(rows[:, 2:], rows[:, 1].astype(int)), np.float64)
+                total = part if total is None else total + part
+                held.clear()
+
+            for batch in gathered(batches, most):
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                block = batch.column(0).to_numpy(zero_copy_only=False)
+                rows = np.column_stack([np.zeros(len(x)), batch.column(1).to_numpy(zero_copy_only=False), x])
+                for part, number in zip(np.split(rows, starts := np.flatnonzero(np.diff(block)) + 1), block[[0, *starts]], strict=True):
+                    if held and last != number:
+                        add()
+                    last = number
+                    held.append(part)
+            if held:
+                add()
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part"])
+
+        parts = blocks.select("block", "_label", "x").mapInArrow(run, "part binary").collect()
+        total = None
+        for row in parts:
+            part = np.frombuffer(zlib.decompress(row["part"]))
+            total = part if total is None else total + part
+        return total
+
+    def first(kind):
+        return np.array([r["x"] for r in blocks.where(F.col("_label") == kind).select("x").limit(most).collect()], float)
+
+    return _fit(over, first, pairs_each, ridge, seed)
 
 
 def _with_features(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -164,16 +278,29 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Model:
-    """Model from the labelled rows of ``docs`` that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int | None = None, text: str = "text", key: str = "doc_id", few: int = FEW) -> Model:
+    """Model from the labelled rows of ``docs`` that are not held out: all, or the first ``sample`` by a hash of the id where that is asked for."""
+    scratch = Scratch(docs.sparkSession, "quality")
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).cast("int").alias("_label"), F.max(label).alias("_most"))
-    present = docs.select(key).distinct()
-    known = known.where("_label = _most").drop("_most").join(present, key, "left_semi").orderBy(F.xxhash64(key), key).limit(sample)
-    chosen = docs.select(F.col(key), F.col(text)).join(F.broadcast(known), key)
-    told = _with_features(chosen.select(key, text, "_label").withColumn(key, F.struct(key, "_label")), text, key)
-    rows = told.groupBy(f"{key}.{key}").agg(F.first(f"{key}._label").alias("_label"), F.min("x").alias("x")).orderBy(key).toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(features(None)))
-    return fit(x, rows["_label"].to_numpy())
+    known = known.where("_label = _most").drop("_most")
+    if sample is not None:
+        known = known.join(docs.select(key).distinct(), key, "left_semi").orderBy(F.xxhash64(key), key).limit(sample)
+    known = scratch.save(known, "known", small=True)
+    count = known.count()
+    chosen = docs.select(key, text).where(F.col(key).isNotNull() & ~held_out(key))
+    if count <= few:  # else most of the texts are taken to be labelled
+        chosen = chosen.join(F.broadcast(known.select(key)), key, "left_semi")
+    told = _with_features(chosen, text, key).groupBy(key).agg(F.min("x").alias("x")).join(known, key)
+    if count <= few:
+        rows = told.orderBy(key).toPandas()
+        x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(features(None)))
+        model = fit(x, rows["_label"].to_numpy())
+    else:
+        dealt = told.repartition(-(-count // FILE), key).sortWithinPartitions(F.xxhash64(key), key)
+        blocks = dealt.select(F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"), "_label", "x")
+        model = _fit_where_it_is(scratch.save(blocks, "blocks"))
+    scratch.drop("known", "blocks")
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -456,6 +456,62 @@ def test_quality_edge_cases(spark):
     assert quality.score(table(spark, []), model).count() == 0
 
 
+def many_labelled(spark, n, bads):
+    """``n`` documents of random words and punctuation; those labelled 0 have more of it."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(n):
+        bad = bads(i)
+        rows.append((i, " ".join(rng.choice(["alpha", "be", "gamma9", "Delta", "!!" if bad else "end."]) for _ in range(rng.randint(3, 9)))))
+        labels.append((i, int(not bad), 0))
+    return table(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), dict(rows), {i: y for i, y, _ in labels}
+
+
+def taught_by(texts, labels):
+    import zlib
+
+    ids = [i for i in sorted(labels) if zlib.crc32(str(i).encode()) % 3 != 1]
+    return np.array([quality.features(texts[i].encode()) for i in ids]), np.array([labels[i] for i in ids])
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Medians, spreads and the threshold are those of all of some 22,000 rows, in several blocks and files."""
+    docs, labels, texts, y = many_labelled(spark, 33_000, lambda i: i % 5 == 0)
+    x, label = taught_by(texts, y)
+    assert len(label) > 20_500
+    model = quality.train(docs, labels)
+    assert (model.mean == np.median(x, axis=0)).all()
+    assert np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-6), rtol=1e-9)
+    s = np.sort(model.strength(x))
+    k = int((label == 0).sum())
+    assert abs(model.threshold - (s[k - 1] + s[k]) / 2) < 1e-9 and abs(model.scale - s.std() / 4) < 1e-9
+    same = quality.fit(x, label)  # the same rows on the driver, other partners
+    assert np.abs(same.score(x) - model.score(x)).mean() < 0.02
+    again = quality.train(docs.repartition(3), labels.repartition(5))
+    assert np.allclose(again.weights, model.weights, atol=1e-9) and abs(again.threshold - model.threshold) < 1e-9
+
+
+def test_quality_with_a_class_that_most_blocks_lack(spark):
+    """Three documents of 14,000 are labelled 0: blocks without any draw them from the pool."""
+    docs, labels, texts, y = many_labelled(spark, 14_000, lambda i: i in (3, 5000, 9000, 9001))
+    x, label = taught_by(texts, y)
+    k = int((label == 0).sum())
+    assert 0 < k <= 4
+    for model in (quality.train(docs, labels, few=0), quality.fit(x, label)):
+        s = np.sort(model.strength(x))
+        assert np.isfinite(model.weights).all() and abs(model.threshold - (s[k - 1] + s[k]) / 2) < 1e-9
+        assert model.strength(x)[label == 0].mean() < model.strength(x)[label == 1].mean() - 1
+
+
+def test_order_statistics_are_exact():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(999, 3)) * [1, 1e-300, 1e200], [[0.0, -0.0, np.pi]] * 500, rng.integers(-3, 3, (500, 3))])
+    cuts = np.array_split(x, 7)
+    ranks = np.array([[0, 5, 998], [1000, 1001, 1998]])
+    got = quality._ranked(lambda f: sum(f(c, None) for c in cuts), lambda v: v, ranks)
+    assert (got == np.take_along_axis(np.sort(x, axis=0), ranks, 0)).all()
+
+
 # ---------------------------------------------------------------- language
 
 
