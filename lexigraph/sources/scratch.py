@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,16 @@ def sweep(since: int) -> None:
     del _MADE[since:]
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect, which gives heap and buffers that they no longer need back to the system.
+
+    One task a core, so that each executor is likely to run one; in a local
+    session the driver's JVM is the executor's.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage.
 
@@ -67,6 +79,8 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         del df
         self.release()
+        if not small and not re.match(r"local(\[|$)", self.spark.sparkContext.master):
+            collect_garbage(self.spark)
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def release(self) -> None:

@@ -697,3 +697,13 @@ def test_pipeline_run_is_its_stages(spark, stages):
 
     got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == Counter((r.doc_id, tuple(r.ids)) for r in stages[-1][2].collect())
+
+
+def test_executors_collect_their_garbage(spark):
+    from lexigraph.sources.scratch import collect_garbage
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans  # a local session's executor is the driver
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = full()
+    collect_garbage(spark)
+    assert full() > before
