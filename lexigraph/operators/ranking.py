@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.lineage import cut
+
+#: Rows of a cut table up to which a join broadcasts it.
+FEW = 500_000
+
 
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
     """1-based row numbers within ``by``."""
@@ -23,6 +28,22 @@ def scaled_to_max(score: str, by: list[str]) -> Column:
     return F.when(most > 0, F.col(score) / most).otherwise(F.col(score))
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows as counted before, marked for broadcast if those are few."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def classes(df: DataFrame, key: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of one key of every class, ``(key, of)``): keys with the same rows ``by`` are a class, for which its smallest key stands.
+
+    What depends on these rows alone is found once a class, and joined to its keys in the end.
+    """
+    said = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*by))).alias("said"))
+    first = said.groupBy("said").agg(F.min(key).alias("of"))
+    members = cut(said.join(first, said["said"].eqNullSafe(first["said"])).select(key, "of"))
+    return df.join(members.where(F.col(key) == F.col("of")).select(key), key, "left_semi"), members
+
+
 def sampled(df: DataFrame, key: str, n: int, salt: str = "42") -> DataFrame:
     """``n`` rows by a hash order: as random as a seed, and the same on every run."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))), key).limit(n)

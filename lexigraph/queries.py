@@ -654,9 +654,10 @@ _LOCKED = _RANKED.replace("JOIN df USING (concept), nf GROUP", "JOIN df USING (c
 @query(f"WITH {_LOCKED} SELECT * FROM rk")
 def sense_locked_ranking(spark, d):
     occ, weights = occurrences(spark, d), _concept_weights(spark, d)
-    sense = occ.where("ordinal % 2 = 0").select(F.col("split_name").alias("concept"), "occurrence_id")
-    locked = weights.where(F.endswith("concept", F.lit("_5"))).join(sense, "concept").select("issue_id", "concept", "occurrence_id")
-    return retrieval.file_scores(weights, occ, occ.agg(F.countDistinct("file_path")).first()[0], locked=locked).select("issue_id", "rank", "file_path", "score", "n_concepts")
+    even = occ.where("ordinal % 2 = 0").select(F.col("split_name").alias("concept"), F.lit("even").alias("sense"), "occurrence_id")
+    named = even.select("concept", "sense").where(F.endswith("concept", F.lit("_5"))).distinct()
+    locked = weights.join(named, "concept").select("issue_id", "concept", "sense")
+    return retrieval.file_scores(weights, occ, occ.agg(F.countDistinct("file_path")).first()[0], locked=locked, senses=even).select("issue_id", "rank", "file_path", "score", "n_concepts")
 
 
 @query(f"""WITH {_RANKED}, sk AS (SELECT issue_id, file_path, function_name, count(DISTINCT concept) AS n FROM hit SEMI JOIN rk USING (issue_id, file_path) GROUP BY ALL),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
 from lexigraph.functions.vectors import similar_across, similar_pairs
-from lexigraph.operators import bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, retrieval, routing, senses
+from lexigraph.operators import bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, ranking, retrieval, routing, senses
 from lexigraph.plans.config import load
 from lexigraph.sources.cache import CacheTable
 from lexigraph.sources.files import json_if_there, text_files
@@ -501,3 +501,31 @@ def test_architecture_boost_rounds_ties_up(spark):
     got = {r.file_path: r.score for r in retrieval.architecture_boost(ranked, cards, issues).collect()}
     # 8.793 * 1.15 is 10.11195
     assert got == {"p/f1.py": 8.7371, "p/f2.py": 8.321, "p/f3.py": duckdb.connect().execute("SELECT round(8.793::DOUBLE * 1.15, 4)").fetchone()[0], "p/f4.py": 1.2, "p/f5.py": 1.2}
+
+
+def counting(monkeypatch, module):
+    """Rows of each table that ``module`` cuts from its plan."""
+    rows, plain = [], module.cut
+
+    def cut(df, *a):
+        rows.append((out := plain(df, *a)).count())
+        return out
+
+    monkeypatch.setattr(module, "cut", cut)
+    return rows
+
+
+def test_issues_of_the_same_weights_are_ranked_once(spark, monkeypatch):
+    rng = random.Random(5)
+    occ = [(f"o{i}", rng.choice("abcdef"), f"p/{rng.randrange(12)}.py", rng.choice(["f", "g", "h", None])) for i in range(300)]
+    weights = [(i, c, w) for i in range(90) for c, w in [[("a", 1.0), ("b", 0.5)], [("a", 1.0), ("c", 0.5)], [("d", 0.2)]][i % 3]]
+    occ = spark.createDataFrame(occ, "occurrence_id string, split_name string, file_path string, function_name string")
+    rank = lambda rows, **more: {(r.issue_id, r["rank"], r.file_path, r.score, r.n_concepts, tuple(r.concepts), tuple((f.name, f.score) for f in r.top_functions)) for r in retrieval.file_scores(spark.createDataFrame(rows, "issue_id int, concept string, weight double"), occ, 12, 5, **more).collect()}
+    alone = {(i, *r[1:]) for k in range(3) for r in rank([w for w in weights if w[0] == k]) for i in range(k, 90, 3)}
+    made = counting(monkeypatch, retrieval)
+    assert rank(weights) == alone and len(alone) == 90 * 5
+    assert max(made) <= 3 * 5 * 2 * 4  # classes, files, concepts, functions; not issues
+    listed = occ.where("split_name = 'a' and occurrence_id like '%1'").select(F.col("split_name").alias("concept"), F.lit(1).alias("sense"), "occurrence_id")
+    chosen = spark.createDataFrame([(i, "a", 1) for i in range(90) if i % 3 == 0], "issue_id int, concept string, sense int")
+    by_sense, by_id = rank(weights, locked=chosen, senses=listed), rank(weights, locked=chosen.join(listed, ["concept", "sense"]).drop("sense"))
+    assert by_sense == by_id and by_sense != alone and {r for r in by_sense if r[0] % 3} == {r for r in alone if r[0] % 3}
