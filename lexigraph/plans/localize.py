@@ -52,12 +52,12 @@ def localize(issues: DataFrame, tables: dict[str, DataFrame], settings: Settings
     reached = cut(graph.walk(start, tables["edges"], tables["concept_file"], s.hops, s.min_weight, ratio=s.max_file_ratio, by=("issue_id",)))
     files = tables["concept_file"].agg(F.countDistinct("file")).first()[0]
     ranked = retrieval.file_scores(reached.select("issue_id", F.col("node").alias("concept"), "weight"), tables["occurrences"], files, s.top_k, s.density, locked)
-    orphans = retrieval.orphan_tokens(texts, tables["soft_index"], tables["concepts"])
+    orphans = retrieval.orphan_tokens(texts, tables["soft_index"], tables["concepts"], among=ranked)
     ranked = retrieval.boosted(ranked, retrieval.soft_boost(orphans, tables["soft_index"], files))
     if cards is not None:
         ranked = retrieval.architecture_boost(ranked, cards, texts)
     alone = texts.join(seeds.select("issue_id").distinct(), "issue_id", "left_anti")
-    rest = retrieval.soft_only(orphans.join(alone.select("issue_id"), "issue_id", "left_semi"), tables["soft_index"], files, s.top_k)
+    rest = retrieval.soft_ranking(alone, tables["soft_index"], tables["concepts"], files, s.top_k)
     return ranked.unionByName(rest, allowMissingColumns=True)
 
 

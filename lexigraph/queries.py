@@ -21,6 +21,7 @@ from .functions.vectors import similar_across, similar_pairs
 from .operators import assembly, bm25, concepts, cooccurrence, diffs, evaluation, extraction, graph, models, ranking, reports, retrieval, routing, senses, synonyms
 from .plans.build import build
 from .plans.localize import hybrid, localize
+from .sources.lineage import cut
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -683,23 +684,26 @@ _BOOST = f"""{_SOFT}, ask AS (SELECT DISTINCT issue_id, unnest({_TOKENS}) AS tok
 orph AS (SELECT issue_id, file_path, sum(ln(1 + n / greatest(df, 1))) AS s FROM ask JOIN soft USING (token) JOIN sdf USING (token), sn WHERE token <> 'small1' GROUP BY ALL)"""
 
 
-def _orphans(spark, d):
+def _soft_parts(spark, d):
     soft, iss = _soft(spark, d)
+    soft = cut(soft)
     names = spark.createDataFrame([("small1",)], "canonical_name string")
-    return retrieval.orphan_tokens(iss, soft, names), soft, soft.agg(F.countDistinct("file_path")).first()[0]
+    return iss, soft, names, soft.agg(F.countDistinct("file_path")).first()[0]
 
 
 @query(f"""WITH {_RANKED}, {_BOOST}, b AS (SELECT issue_id, file_path, round(score + coalesce(0.25 * s, 0), 4) AS score FROM rk LEFT JOIN orph USING (issue_id, file_path))
 SELECT issue_id, file_path, score, (row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, file_path))::INT AS rank FROM b""")
 def soft_boost(spark, d):
-    orphans, soft, n = _orphans(spark, d)
-    return retrieval.boosted(_ranked(spark, d), retrieval.soft_boost(orphans, soft, n)).select("issue_id", "file_path", "score", "rank")
+    iss, soft, names, n = _soft_parts(spark, d)
+    ranked = _ranked(spark, d)
+    orphans = retrieval.orphan_tokens(iss, soft, names, among=ranked)
+    return retrieval.boosted(ranked, retrieval.soft_boost(orphans, soft, n)).select("issue_id", "file_path", "score", "rank")
 
 
 @query(f"WITH {_BOOST} SELECT issue_id, file_path, round(0.3 * s, 4) AS score, (row_number() OVER (PARTITION BY issue_id ORDER BY round(0.3 * s, 4) DESC, file_path))::INT AS rank FROM orph QUALIFY rank <= 10")
 def soft_only_ranking(spark, d):
-    orphans, soft, n = _orphans(spark, d)
-    return retrieval.soft_only(orphans, soft, n).select("issue_id", "file_path", "score", "rank")
+    iss, soft, names, n = _soft_parts(spark, d)
+    return retrieval.soft_ranking(iss, soft, names, n).select("issue_id", "file_path", "score", "rank")
 
 
 _CARDS = "cards AS (SELECT 'pkg' || (s_suppkey % 5) || '/s' || s_suppkey || '.py' AS file_path, ['the standard' || (s_suppkey % 10) || ' way', 'ECONOMY' || (s_suppkey % 7), 'other'] AS kc FROM supplier)"

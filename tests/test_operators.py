@@ -538,3 +538,16 @@ def test_skeletons_are_made_once_for_a_file_and_its_concepts(spark, monkeypatch)
     got = {r.issue_id: r.skeleton for r in retrieval.skeletons(ranked, occ).collect()}
     assert len(got) == 41 and got[1] == got[2] == "# f\nyyy\n\n# g\nx" and got[40] == "# f\nb"
     assert made == [3]
+
+
+def test_soft_ranking_of_issues_with_the_same_orphans(spark, monkeypatch):
+    soft = spark.createDataFrame([(t, f"p/{i}.py") for i in range(30) for t in ("alpha", "beta", "gamma") if i % (2 + len(t)) == 0], "token string, file_path string")
+    issues = spark.createDataFrame([(i, ["alpha beta", "beta alpha alpha", "gamma named", "nothing"][i % 4]) for i in range(40)], "issue_id int, text string")
+    names = spark.createDataFrame([("named",)], "canonical_name string")
+    orphans = retrieval.orphan_tokens(issues, soft, names)
+    plain = {tuple(r) for r in retrieval.soft_only(orphans, soft, 30, 4).select("issue_id", "rank", "file_path", "score").collect()}
+    made = counting(monkeypatch, ranking)
+    assert {tuple(r) for r in retrieval.soft_ranking(issues, soft, names, 30, 4).select("issue_id", "rank", "file_path", "score").collect()} == plain and len(plain) == 30 * 4
+    assert made == [30]
+    few = spark.createDataFrame([(0, "p/7.py"), (1, "p/6.py"), (2, "p/8.py")], "issue_id int, file_path string")
+    assert {tuple(r) for r in retrieval.orphan_tokens(issues, soft, names, among=few).collect()} == {tuple(r) for r in orphans.join(few, ["issue_id", "file_path"]).select("issue_id", "token", "file_path").collect()}
