@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.lineage import cut
 from .ranking import top
 
 
@@ -111,16 +112,25 @@ def shortest_path(edges: DataFrame, source: str, target: str, hops: int = 4) ->
 def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """``(source, target, hops, path)`` of all pairs ``(source, target)`` at once, as :func:`shortest_path` finds each; pairs too far apart are left out.
 
-    Every hop keeps one path per source and node, and nodes reached before don't go on.
+    The search starts from the side of fewer different ends and grows paths at
+    their other end. Every hop keeps one path per start and node, the smallest,
+    which any extension on either side can only keep smallest; nodes reached
+    before don't go on, and of the last hop only what is asked stays.
     """
-    near, asked = undirected(edges), pairs.select("source", "target").distinct()
-    front = asked.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    seen = front.select("source", "node", F.lit(0).alias("hops"), "path")
+    near, asked = undirected(edges), cut(pairs.select("source", "target").distinct())
+    ends = asked.agg(F.countDistinct("source").alias("source"), F.countDistinct("target").alias("target")).first()
+    start, end = ("target", "source") if ends["target"] < ends["source"] else ("source", "target")
+    front = asked.select(start).distinct().select(start, F.col(start).alias("node"), F.array(start).alias("path"))
+    seen = front.select(start, "node", F.lit(0).alias("hops"), "path")
     for h in range(1, hops + 1):
-        grown = front.join(near, "node").select("source", F.col("nbr").alias("node"), F.concat("path", F.array("nbr")).alias("path"))
-        front = grown.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        seen = seen.unionByName(front.select("source", "node", F.lit(h).alias("hops"), "path"))
-    return asked.join(seen.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops", "path")
+        path = F.concat("path", F.array("nbr")) if start == "source" else F.concat(F.array("nbr"), "path")
+        grown = front.join(near, "node").select(start, F.col("nbr").alias("node"), path.alias("path"))
+        if h == hops:
+            grown = grown.join(asked.withColumnRenamed(end, "node"), [start, "node"], "left_semi")
+        front = grown.groupBy(start, "node").agg(F.min("path").alias("path")).join(seen.select(start, "node"), [start, "node"], "left_anti")
+        front = cut(front)
+        seen = seen.unionByName(front.select(start, "node", F.lit(h).alias("hops"), "path"))
+    return asked.join(seen.withColumnRenamed("node", end), ["source", "target"]).select("source", "target", "hops", "path")
 
 
 def explained(path: DataFrame, edges: DataFrame) -> DataFrame:

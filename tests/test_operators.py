@@ -551,3 +551,15 @@ def test_soft_ranking_of_issues_with_the_same_orphans(spark, monkeypatch):
     assert made == [30]
     few = spark.createDataFrame([(0, "p/7.py"), (1, "p/6.py"), (2, "p/8.py")], "issue_id int, file_path string")
     assert {tuple(r) for r in retrieval.orphan_tokens(issues, soft, names, among=few).collect()} == {tuple(r) for r in orphans.join(few, ["issue_id", "file_path"]).select("issue_id", "token", "file_path").collect()}
+
+
+def test_paths_to_few_targets_past_a_hub(spark, monkeypatch):
+    e = spark.createDataFrame([(f"s{i:03}", "hub") for i in range(200)] + [("hub", "t"), ("s007", "u"), ("u", "v"), ("s003", "u")], "src string, dst string")
+    pairs = spark.createDataFrame([(f"s{i:03}", t) for i in range(200) for t in ("t", "u")], "source string, target string")
+    made = counting(monkeypatch, graph)
+    got = {(r.source, r.target): (r.hops, r.path) for r in graph.shortest_paths(pairs, e).collect()}
+    assert max(made) <= 2 * 205  # not the pairs of what a hub is next to
+    assert len(got) == 400 and got["s000", "t"] == (2, ["s000", "hub", "t"]) and got["s000", "u"] == (3, ["s000", "hub", "s003", "u"])
+    for s, t in (("s007", "u"), ("s003", "t"), ("s150", "u")):
+        one = graph.shortest_path(e, s, t).first()
+        assert got[s, t] == (one.hops, one.path)
