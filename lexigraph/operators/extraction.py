@@ -84,6 +84,11 @@ def identifiers(path: str, source: str, around: int = 3) -> list[tuple]:
     return out
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """``(file_path, text)`` in several tasks a core: a table of few bytes, which is read by one task, may hold many sources to parse."""
+    return files.select("file_path", "text").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file_path")
+
+
 def occurrences(files: DataFrame, around: int = 3) -> DataFrame:
     """All identifiers of ``files(file_path, text)``, with the file's first directory as subdomain."""
 
@@ -94,7 +99,7 @@ def occurrences(files: DataFrame, around: int = 3) -> DataFrame:
             kinds = [pa.int32() if n in ("ordinal", "line_number") else pa.string() for n in _FIELDS]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _FIELDS)
 
-    found = files.select("file_path", "text").mapInArrow(run, SCHEMA)
+    found = dealt(files).mapInArrow(run, SCHEMA)
     return found.withColumn("subdomain", F.regexp_replace(F.split_part("file_path", F.lit("/"), F.lit(1)), r"\.py$", ""))
 
 
@@ -111,7 +116,7 @@ def unparsable(files: DataFrame) -> DataFrame:
                     bad.append((p, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in bad], pa.string()) for k in (0, 1)], ["file_path", "error"])
 
-    return files.select("file_path", "text").mapInArrow(run, "file_path string, error string")
+    return dealt(files).mapInArrow(run, "file_path string, error string")
 
 
 def symbols(files: DataFrame, most: int = 15, imports: int = 10) -> DataFrame:
@@ -132,7 +137,7 @@ def symbols(files: DataFrame, most: int = 15, imports: int = 10) -> DataFrame:
                 modules.append(list(dict.fromkeys(found))[:imports])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(modules, pa.list_(pa.string())), pa.array(counts, pa.int32())], ["file_path", "symbols", "imports", "symbol_count"])
 
-    return files.select("file_path", "text").mapInArrow(run, "file_path string, symbols array<string>, imports array<string>, symbol_count int")
+    return dealt(files).mapInArrow(run, "file_path string, symbols array<string>, imports array<string>, symbol_count int")
 
 
 def import_graph(found: DataFrame) -> DataFrame:

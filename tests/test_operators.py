@@ -563,3 +563,10 @@ def test_paths_to_few_targets_past_a_hub(spark, monkeypatch):
     for s, t in (("s007", "u"), ("s003", "t"), ("s150", "u")):
         one = graph.shortest_path(e, s, t).first()
         assert got[s, t] == (one.hops, one.path)
+
+
+def test_sources_are_dealt_before_they_are_parsed(spark):
+    files = spark.createDataFrame([(f"p/{i}.py", f"x{i} = 1\n") for i in range(40)], "file_path string, text string").coalesce(1)
+    for found in (extraction.occurrences(files), extraction.symbols(files), extraction.unparsable(files)):
+        assert found.rdd.getNumPartitions() > 4
+    assert {r.raw_identifier for r in extraction.occurrences(files).collect()} == {f"x{i}" for i in range(40)}
