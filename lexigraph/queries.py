@@ -938,7 +938,7 @@ def ast_extract(spark, d):
 
 @query(f"""WITH {_PARTS} SELECT file_path, '' AS responsibility, 'm' || (k % 7) AS layer, upper(a[1]) || a[2:] || ',read_' || b AS key_concepts, 2 AS symbol_count, 2 AS imports_from_count, (k - 1 IN (SELECT p_partkey FROM part))::INT AS imported_by_count FROM p""")
 def module_cards(spark, d):
-    found = extraction.symbols(part_sources(spark, d))
+    found = cut(extraction.symbols(part_sources(spark, d)))
     cards = extraction.module_cards(found, found.select("file_path", F.lit("").alias("responsibility"), F.split_part("file_path", F.lit("/"), F.lit(1)).alias("layer"), F.slice("symbols", 1, 2).alias("key_concepts")))
     return cards.withColumn("key_concepts", F.array_join("key_concepts", ","))
 

@@ -570,3 +570,9 @@ def test_sources_are_dealt_before_they_are_parsed(spark):
     for found in (extraction.occurrences(files), extraction.symbols(files), extraction.unparsable(files)):
         assert found.rdd.getNumPartitions() > 4
     assert {r.raw_identifier for r in extraction.occurrences(files).collect()} == {f"x{i}" for i in range(40)}
+
+
+def test_module_cards_parse_each_source_once(spark):
+    from lexigraph.queries import queries
+
+    assert "MapInArrow" not in queries()["module_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
