@@ -23,7 +23,7 @@ from ..functions import text as T
 from ..sources.cache import CacheTable
 from ..sources.lineage import cut
 from .graph import impact, shortest_paths, undirected
-from .ranking import top
+from .ranking import classes, few, top
 
 log = logging.getLogger(__name__)
 
@@ -253,19 +253,24 @@ def diagnosed(terms: DataFrame, edges: DataFrame, concept_file: DataFrame, k: in
     A known concept weighs 1, its neighbours one half; a file scores the sum of
     weight times idf of the distinct concepts that it holds.
     """
-    names = concept_file.select(F.col("concept").alias("term")).distinct()
     asked = terms.select(key, F.lower("term").alias("term")).distinct()
+    said = cut(asked.select(F.col("term").alias("concept")).distinct())
+    names = cut(concept_file.join(few(said, said.count()), "concept", "left_semi").select(F.col("concept").alias("term")).distinct())
     known, unknown = asked.join(names, "term", "left_semi"), asked.join(names, "term", "left_anti")
-    near = known.join(undirected(edges), F.col("term") == F.col("node")).select(key, F.col("nbr").alias("concept"), F.lit(0.5).alias("weight"))
-    weights = known.select(key, F.col("term").alias("concept"), F.lit(1.0).alias("weight")).unionByName(near).groupBy(key, "concept").agg(F.max("weight").alias("weight"))
-    held = concept_file.select("concept", "file").distinct()
-    total = held.select("file").distinct().agg(F.count("*").alias("n"))
+    # keys of the same known terms lead to the same files
+    firsts, members = classes(known, key, ["term"])
+    near = firsts.join(undirected(edges), F.col("term") == F.col("node")).select(key, F.col("nbr").alias("concept"), F.lit(0.5).alias("weight"))
+    weights = cut(firsts.select(key, F.col("term").alias("concept"), F.lit(1.0).alias("weight")).unionByName(near).groupBy(key, "concept").agg(F.max("weight").alias("weight")))
+    n = weights.count()
+    each = lambda df: members.join(df.withColumnRenamed(key, "of"), "of").drop("of")
+    held = concept_file.join(few(weights.select("concept").distinct(), n), "concept", "left_semi").select("concept", "file").distinct()
+    total = concept_file.select("file").distinct().agg(F.count("*").alias("n"))
     df = held.groupBy("concept").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # total: one row
-    scored = weights.join(df, "concept").join(held, "concept").groupBy(key, "file").agg(F.round(F.sum(F.col("weight") * T.idf(F.col("n"), F.col("df"))), 4).alias("score"))
+    scored = held.join(few(weights.join(df, "concept"), n), "concept").groupBy(key, "file").agg(F.round(F.sum(F.col("weight") * T.idf(F.col("n"), F.col("df"))), 4).alias("score"))
     share = asked.join(known.withColumn("k", F.lit(1)), [key, "term"], "left").groupBy(key).agg(F.avg(F.coalesce("k", F.lit(0))).alias("share"))
     trust = share.select(key, F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.6, "high").when(F.col("share") >= 0.3, "medium").otherwise("low").alias("confidence"))
     files = top(scored, [key], [F.desc("score"), "file"], k)
-    return {"known": known, "unknown": unknown, "files": files, "confidence": trust, "weights": weights}
+    return {"known": known, "unknown": unknown, "files": each(files), "confidence": trust, "weights": each(weights)}
 
 
 def reasons(diagnosis: dict[str, DataFrame], edges: DataFrame, concept_file: DataFrame, each: int = 3, hops: int = 3, key: str = "issue_id") -> DataFrame:

@@ -576,3 +576,17 @@ def test_module_cards_parse_each_source_once(spark):
     from lexigraph.queries import queries
 
     assert "MapInArrow" not in queries()["module_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diagnosis_weighs_the_same_terms_once(spark, monkeypatch):
+    e = spark.createDataFrame([("a", f"n{i}") for i in range(9)], "src string, dst string")
+    cf = spark.createDataFrame([("a", "1"), ("b", "2"), *[(f"n{i}", str(i)) for i in range(9)]], "concept string, file string")
+    terms = spark.createDataFrame([(i, t) for i in range(60) for t in ("A", f"other{i}", *("b" * (i % 2)))], "issue_id int, term string")
+    made = counting(monkeypatch, models)
+    got = models.diagnosed(terms, e, cf)
+    files = {}
+    for r in got["files"].collect():
+        files.setdefault(r.issue_id, []).append((r["rank"], r.file, r.score))
+    assert len(files) == 60 and all(sorted(files[i]) == sorted(files[i % 2]) for i in files) and files[0] != files[1]
+    assert got["weights"].count() == 60 * 10 + 30 and got["unknown"].count() == 60
+    assert made[-1] == 10 + 11  # two classes: the term and its neighbours, and one term more
