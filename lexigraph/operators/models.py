@@ -140,9 +140,10 @@ def through_cache(prompts: DataFrame, cache: DataFrame, ask: Callable[[DataFrame
     """
     keyed = prompts.withColumn("key", T.cache_key(F.col("prompt")))
     said = cache.groupBy("key").agg(F.min("answer").alias("answer"))
-    misses = keyed.select("key", "prompt").join(said, "key", "left_anti").groupBy("key").agg(F.first("prompt").alias("prompt"))
+    misses = keyed.select("key", "prompt").join(said.hint("merge"), "key", "left_anti").groupBy("key").agg(F.first("prompt").alias("prompt"))
     fresh = keep(ask(misses).where("answer <> ''").select("key", "answer"))
-    out = keyed.join(said.unionByName(fresh), "key", "left")
+    # as many answers as prompts, which estimates from small inputs would have broadcast
+    out = keyed.join(said.unionByName(fresh).hint("merge"), "key", "left")
     return out.drop("key"), fresh
 
 
@@ -161,10 +162,10 @@ def remembered_vectors(texts: DataFrame, cache: CacheTable | None, make: Callabl
         return embedded(texts, make)
     keyed = texts.withColumn("key", T.cache_key(F.coalesce("text", F.lit(""))))
     known = cache.read().groupBy("key").agg(F.min("emb").alias("emb"))
-    misses = keyed.select("key", "text").join(known, "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
+    misses = keyed.select("key", "text").join(known.hint("merge"), "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
     fresh = keep(embedded(misses, make).select("key", "emb"))
     cache.add(fresh)
-    return keyed.join(known.unionByName(fresh), "key", "left").drop("key")
+    return keyed.join(known.unionByName(fresh).hint("merge"), "key", "left").drop("key")
 
 
 DEFINE = "Say in one sentence what the name means in its domain, not what the code does.\nName: {name}\nIdentifier: {raw}\nFile: {file}, line {line}\nClass: {cls}\nFunction: {fn}\nBlock: {block}\nCode:\n{code}\nThe {kind} {raw}"

@@ -590,3 +590,11 @@ def test_diagnosis_weighs_the_same_terms_once(spark, monkeypatch):
     assert len(files) == 60 and all(sorted(files[i]) == sorted(files[i % 2]) for i in files) and files[0] != files[1]
     assert got["weights"].count() == 60 * 10 + 30 and got["unknown"].count() == 60
     assert made[-1] == 10 + 11  # two classes: the term and its neighbours, and one term more
+
+
+def test_answers_are_never_broadcast(spark):
+    asked = spark.createDataFrame([(i, f"what is {i}") for i in range(50)], "id int, prompt string")
+    out, _ = models.through_cache(asked, spark.createDataFrame([], "key string, answer string"))
+    assert {(r.id, r.answer) for r in out.collect()} == {(i, f"what is {i}") for i in range(50)}
+    # the plan as it ran: an empty cache leaves only the new answers, whose estimate is far too small
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
