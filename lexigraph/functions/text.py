@@ -12,6 +12,7 @@ from . import words
 
 _PART = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\d|$)"
 _TOKEN = r"[A-Za-z_][A-Za-z0-9_]+"
+_TOKEN_RE = re.compile(_TOKEN)
 _SUFFIXES = (("ing", ""), ("ies", "y"), ("ied", ""), ("es", ""), ("s", ""), ("ed", ""))
 
 
@@ -60,6 +61,14 @@ def code_tokens(text: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.concat(F.array(t), parts(t))))
 
 
+def code_words(text: str | None) -> list[str]:
+    """The tokens of :func:`code_tokens`, outside of a plan."""
+    found = " ".join(_TOKEN_RE.findall(text or "")).lower().split()
+    if not any("_" in t for t in found):
+        return found
+    return [w for t in found for w in (t, *((p for p in t.split("_") if len(p) >= 2) if "_" in t else ()))]
+
+
 def light_stem(token: Column) -> Column:
     """Strip the first suffix that leaves three letters; short tokens stay."""
     t = F.lower(token)

@@ -598,3 +598,18 @@ def test_answers_are_never_broadcast(spark):
     assert {(r.id, r.answer) for r in out.collect()} == {(i, f"what is {i}") for i in range(50)}
     # the plan as it ran: an empty cache leaves only the new answers, whose estimate is far too small
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_of_batches_is_bm25_of_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["aa", "Bb", "cc_dd", "dd", "x9", "é1a", "_", "ee"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(rng.randrange(30)) if i % 7 else None) for i in range(200)] + [(900, "aa aa"), (901, "aa aa")], "doc_id int, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "aa aa bb"), (2, "cc_dd x9"), (3, "nowhere"), (4, ""), (5, "ee dd")], "item_id int, text string")
+    scored = bm25.scores(docs, queries).withColumn("score", F.round("score", 6))
+    plain = {tuple(r) for r in ranking.top(scored, ["item_id"], [F.desc("score"), "doc_id"], 10).select("item_id", "rank", "doc_id", "score").collect()}
+    made = counting(monkeypatch, bm25)
+    assert {tuple(r) for r in bm25.topk(docs, queries).collect()} == plain and len(plain) == 30
+    assert made == [7, 202]  # terms asked, documents; no row a document and term
+    assert bm25.topk(docs, queries.where("item_id > 2 and item_id < 5")).count() == 0
+    for text in ("a1_b2 __ _x 9ab A_B_cc", "", None, "É_é_abc"):
+        assert T.code_words(text) == one(spark, text, T.code_tokens)
