@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Passages that are sent to every task at once.
+PASSAGES = 50_000
+
 
 def first_hits(predictions: DataFrame, truth: DataFrame, key: str = "issue_id", item: str = "file_path", suffix: bool = False, roots: tuple[str, ...] = ()) -> DataFrame:
     """``(key, rank)`` of the first prediction that is right, null if none, for every key of ``truth``.
@@ -43,22 +49,48 @@ def holding(docs: DataFrame, passages: DataFrame, key: str = "item_id", item: st
     """``(key, item)``: documents whose text has a passage's whole ``text`` in it.
 
     Inner words of a passage are whole words of every text that has it, so its
-    first ``width`` of them are joined by hash with those at each position of the
-    documents, and whole passages are compared on what meets. Passages of fewer
-    words are compared with every document.
+    first ``width`` of them are looked up at each position of the documents where
+    the first stands, and whole passages are compared on what meets. Passages of
+    fewer words are compared with every document. All passages are sent to every
+    task; those above :data:`PASSAGES` go in turns.
     """
-    docs = docs.select(F.col(item).alias("doc"), F.col("text").alias("whole"))
-    asked = passages.select(key, F.col("text").alias("passage")).withColumn("words", F.split("passage", " ")).where("passage is not null")
-    long = F.size("words") >= width + 2
-    starts = asked.where(long).select(key, "passage", F.xxhash64(F.slice("words", 2, width)).alias("hash"))
-    words = docs.withColumn("words", F.split("whole", " ")).where(F.size("words") >= width)
-    runs = words.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.xxhash64(F.slice("words", i, width))))).alias("hash"))
-    met = runs.join(starts, "hash").select(F.col("doc").alias("of"), key, "passage").distinct()
-    found = docs.join(met, F.col("doc").eqNullSafe(F.col("of"))).where(F.contains("whole", F.col("passage"))).select(key, "doc")
-    short = asked.where(~long).select(key, "passage")
-    if not short.isEmpty():
-        found = found.unionByName(docs.join(short, F.contains("whole", F.col("passage"))).select(key, "doc"))
-    return found.withColumnRenamed("doc", item)
+    asked = passages.where("text is not null").select(F.col(key).alias("k"), "text").toArrow()
+    kind, of = passages.schema[key].dataType.simpleString(), docs.schema[item].dataType.simpleString()
+    schema = f"`{key}` {kind}, `{item}` {of}"
+    parts = [_holding(docs.select(item, "text"), asked.slice(at, PASSAGES), schema, width) for at in range(0, asked.num_rows, PASSAGES)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def _holding(docs: DataFrame, asked: pa.Table, schema: str, width: int) -> DataFrame:
+    """The rows of :func:`holding` for some passages ``(k, text)``."""
+    short, starts, firsts = [], {}, set()
+    for n, passage in enumerate(asked["text"].to_pylist()):
+        words = passage.split(" ")
+        if len(words) < width + 2:
+            short.append((n, passage))
+        else:
+            starts.setdefault(tuple(words[1 : width + 1]), []).append((n, passage))
+            firsts.add(words[1])
+    shared = docs.sparkSession.sparkContext.broadcast((short, starts, firsts, asked["k"].combine_chunks()))
+
+    def find(batches):
+        short, starts, firsts, keys = shared.value
+        for batch in batches:
+            row, held = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                words, near = text.split(" "), list(short)
+                if not firsts.isdisjoint(words):
+                    for run in {tuple(words[i : i + width]) for i, w in enumerate(words) if w in firsts}:
+                        near += starts.get(run, ())
+                mine = [n for n, passage in near if passage in text]
+                held += mine
+                row += [at] * len(mine)
+            if row:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(held)), batch.column(0).take(pa.array(row))], ["k", "d"])
+
+    return docs.mapInArrow(find, schema)
 
 
 def summary(hits: DataFrame, k: int = 10, by: list[str] | None = None, rollup: bool = False) -> DataFrame:

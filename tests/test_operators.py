@@ -613,3 +613,13 @@ def test_bm25_of_batches_is_bm25_of_joins(spark, monkeypatch):
     assert bm25.topk(docs, queries.where("item_id > 2 and item_id < 5")).count() == 0
     for text in ("a1_b2 __ _x 9ab A_B_cc", "", None, "É_é_abc"):
         assert T.code_words(text) == one(spark, text, T.code_tokens)
+
+
+def test_passages_are_looked_up_without_a_join(spark, monkeypatch):
+    passages = spark.createDataFrame([(i, f"a b{i} c d e f") for i in range(30)] + [(99, "tiny")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "za b3 c d e fx, a b4 c d e g"), (2, "a tiny one"), (3, None)], "doc_id int, text string")
+    monkeypatch.setattr(evaluation, "PASSAGES", 7)
+    found = evaluation.holding(docs, passages)
+    assert sorted(map(tuple, found.collect())) == [(3, 1), (99, 2)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert evaluation.holding(docs, passages.limit(0)).count() == 0
