@@ -623,3 +623,34 @@ def test_passages_are_looked_up_without_a_join(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(3, 1), (99, 2)]
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert evaluation.holding(docs, passages.limit(0)).count() == 0
+
+
+def test_best_of_blocks_are_the_best_of_all_with_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 8)), 1)
+    x[200:260] = x[0]  # copies: ties at every rank
+    x[299] = np.nan
+    ids = [i * 3 % 300 // 3 * 3 + i % 3 for i in range(300)]
+    ids[5] = ids[4]  # an id held twice is no pair
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.floor((unit @ unit.T) * 1e6 + 0.5) / 1e6
+    best = lambda i, ok: sorted((-cos[i, j], ids[j]) for j in range(300) if cos[i, j] >= 0.3 and ok(ids[i], ids[j]))[:4]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "id bigint, emb array<double>")
+    single = [i for i in range(300) if i not in (4, 5)]
+    for block in (None, 40):
+        got = ranking.top(similar_pairs(df, 0.3, block=block, k=4), ["i"], [F.desc("sim"), "j"], 4).collect()
+        across = ranking.top(similar_across(df.withColumnRenamed("id", "issue_id"), df.withColumnRenamed("id", "concept"), 0.3, 4, block=block), ["issue_id"], [F.desc("sim"), "concept"], 4).collect()
+        for rows, ok in (([(r.i, r.sim, r.j) for r in got], lambda a, b: a < b), ([(r.issue_id, r.sim, r.concept) for r in across], lambda a, b: True)):
+            told = {}
+            for i, sim, j in rows:
+                told.setdefault(i, []).append((-sim, j))
+            for i in single:
+                assert sorted(told.get(ids[i], [])) == best(i, ok), (block, i)
+
+
+def test_vectors_are_not_sent_to_a_block_for_every_few_thousand_rows():
+    from lexigraph.functions.vectors import _side
+
+    assert [_side(n, None) for n in (0, 1000, 2048, 50_000, 600_000)] == [1, 1, 2, 8, 19]
